@@ -1,4 +1,4 @@
-"""Corpus preparation: each stage takes the documents its predecessor kept."""
+"""Corpus preparation: each stage takes the documents that its predecessor kept."""
 
 from __future__ import annotations
 
@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taqlspark.llm import simhash
+from taqlspark.llm import packing, pii, quality, queries, simhash
 from taqlspark.session import stage
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = quality.score(docs, model).where(f"score >= {quality.THRESHOLD}")
+    return kept.select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.deduplicate(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All ids of all texts in sequences of bounded length, one row per piece."""
+    found = packing.pack_texts(docs, queries.vocabulary("word_bpe_49k.json"), keep_ids=True)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_documents),
     ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
 ]
 
-#: The stages hold a trained classifier, 64-bit hashes and a tokenizer, which SQL can't express.
+#: The stages hold a trained model, 64-bit hashes, iterated graphs and a tokenizer, which SQL can't express.
 ORACLE_SQL: str | None = None
 
 
