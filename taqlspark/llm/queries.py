@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage_path
-from . import ann, bpe, dac, packing, pii, quality, simhash, urls
+from . import ann, bpe, chroma, dac, licenses, packing, pii, quality, simhash, urls
 
 
 def vocabulary(name: str) -> str:
@@ -63,6 +63,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio, so each vector is played as a melody and taken as a recording."""
+    found = chroma.match(_table(spark, sf_dir, "embeddings"), "vec_id", F.col("embedding"), render=chroma.render_vector)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -75,6 +81,10 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -82,8 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_dac": op4_dac,
     "op5_urls": op5_urls,
     "op6_packing": op6_packing,
+    "op7_chroma": op7_chroma,
     "op8_quality": op8_quality,
     "op9_ann": op9_ann,
+    "op10_licenses": op10_licenses,
 }
 
 _PARTS = """
