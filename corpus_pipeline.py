@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from taqlspark.llm import packing, pii, quality, queries, simhash
 from taqlspark.session import stage
 
+#: The workers of all stages live on in the executors, so the tokenizer's cache is kept small here.
+CACHE_ENTRIES = 100_000
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -29,7 +32,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All ids of all texts in sequences of bounded length, one row per piece."""
-    found = packing.pack_texts(docs, queries.vocabulary("word_bpe_49k.json"), keep_ids=True)
+    found = packing.pack_texts(docs, queries.vocabulary("word_bpe_49k.json"), keep_ids=True, cache_entries=CACHE_ENTRIES)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import batches_of
-from .pieces import PieceEncoder
+from .pieces import CACHE_ENTRIES, PieceEncoder
 
 #: Limits of a sequence, and sequences that a task holds open.
 TOKENS, SEGMENTS, OPEN = 4096, 512, 16
@@ -213,7 +213,7 @@ def _table(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 
 
 def pack_texts(
-    docs: DataFrame, tokenizer: str, end_id: int | None = 2, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+    docs: DataFrame, tokenizer: str, end_id: int | None = 2, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, cache_entries: int = CACHE_ENTRIES
 ) -> DataFrame:
     """Encode whole texts and pack all their ids; one row per piece.
 
@@ -221,7 +221,8 @@ def pack_texts(
     start counts the document's ids before the piece, offset the sequence's; every id lies in exactly
     one piece. All tokens of a text bear loss. A null text counts as empty; with ``end_id`` it still
     has one id, without it no piece. Ids may be null or repeat. Other columns are not read.
-    sequence_id is unique over the result; it holds the task and a running number.
+    sequence_id is unique over the result; it holds the task and a running number. cache_entries bounds
+    the encoder's cache; where workers serve other steps too, fewer leave them more memory.
     """
     batches_of(docs.sparkSession)
     own = limits or Limits()
@@ -249,7 +250,7 @@ def pack_texts(
 
         for b in batches:
             rows = []
-            for key, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist(), cache_entries), strict=True):
                 ids += end
                 rows += out(packer.add(Example((key, ids), 0, len(ids) // 4, 0)))
             yield _table(rows, kinds)

@@ -11,66 +11,83 @@ import re
 
 import numpy as np
 
-#: Entries kept before the cache starts anew; bounds a worker's memory.
-CACHE_ENTRIES = 1_000_000
+#: Entries of one of the cache's two generations; bounds a worker's memory (about 160 bytes each).
+CACHE_ENTRIES = 500_000
 #: Pieces longer than this are encoded without being kept.
 CACHE_CHARS = 64
 #: Letters below this are the same in every version of Unicode and have no normal form but themselves.
-_PLAIN = "\u0250"
-#: Marks that are a pre-token of their own after letters and before the end of a piece.
-_CLOSING = tuple(".,;:!?")
+_PLAIN = "ɐ"
 
-#: A space that follows white space is no safe cut. Wider than any library's idea of white space.
-_UNSAFE = re.compile(r"^ |[\s\u0085 ᠎​-‍    ⁠　﻿] ")
+#: White space in the widest sense of any library; a space after it is no safe cut.
+_SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎           ​‌‍    ⁠　﻿"
+_UNSAFE = [c + " " for c in _SPACES]
+#: Begins the key of a piece without a leading space.
+_BARE = "\0"
 
 
-def byte_level_pieces(text: str) -> list[str]:
-    """Cut before each space that follows a character that isn't white space.
+def byte_level_keys(text: str) -> list[str]:
+    """Pieces cut before each space that follows a character that isn't white space.
 
     A byte-level pre-token holds a space only as its first character or within a run of white space,
-    so such a cut is always a border between pre-tokens.
+    so such a cut is always a border between pre-tokens. A piece is named by what follows its leading
+    space, or by _BARE and its text if it has none; texts that hold _BARE are one piece.
     """
+    if _BARE in text:
+        return [_BARE + text]
     parts = text.split(" ")
-    if len(parts) == 1:
-        return [text] if text else []
-    if not _UNSAFE.search(text):
-        out = [" " + p for p in parts]
-        out[0] = parts[0]
-        return out
+    if text[0] != " " and not any(x in text for x in _UNSAFE):
+        parts[0] = _BARE + parts[0]
+        return parts
     out = [parts[0]]
     for part in parts[1:]:
-        if not out[-1] or _UNSAFE.search(out[-1][-1] + " "):
+        if not out[-1] or out[-1][-1] in _SPACES:
             out[-1] += " " + part
         else:
             out.append(" " + part)
-    return [p for p in out if p]
+    return [p[1:] if p[0] == " " and len(p) > 1 and k else _BARE + p for k, p in enumerate(out) if p]
 
 
 _ASCII_SPACE = re.compile(r"[^ \t\n\r]+")
 
 
-def word_pieces(text: str) -> list[str]:
+def word_keys(text: str) -> list[str]:
     """Runs without ASCII white space, for a tokenizer that drops white space."""
     return _ASCII_SPACE.findall(text)
 
 
-_NONE: list[str] = []
+#: Letters, then marks, then at most one line break and more of the same.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*))?")
 
 
-class _Both:
-    """Looks a piece up in one mapping, then in another."""
+class _Cache(dict):  # type: ignore[type-arg]
+    """Ids by key, in two generations: what is used again moves to the young one, the old one is dropped when that is full.
 
-    def __init__(self, first: dict[str, bytes], second: dict[str, bytes]) -> None:
-        self.first, self.second = first, second
+    An unknown key is noted and stands for itself.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.unknown: list[str] = []
+        self.old: dict[str, bytes] = {}
 
-    def __getitem__(self, piece: str) -> bytes:
-        return self.first[piece] if piece in self.first else self.second[piece]
+    def __missing__(self, key: str) -> str | bytes:
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+            return found
+        self.unknown.append(key)
+        return key
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
 
 
 class PieceEncoder:
     """Encodes texts with a ``tokenizers`` file; one per worker and file."""
 
-    _kept: dict[tuple[str, bool], "PieceEncoder"] = {}
+    _kept: dict[tuple[str, bool], PieceEncoder] = {}
 
     def __init__(self, path: str, words: bool) -> None:
         import os
@@ -81,17 +98,16 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        self.split = word_pieces if words else byte_level_pieces
-        self.cache: dict[str, bytes] = {}
-        # bytes of each id: a byte-level vocabulary writes every byte as one character
+        self.split = word_keys if words else byte_level_keys
+        self.cache = _Cache()
+        self.marks: dict[str, bytes] = {"": b""}
+        # a byte-level vocabulary writes every byte as one character
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         self.last = np.zeros(len(self.lengths), dtype=bool)
         for token, k in vocabulary.items():
             self.lengths[k] = len(token)
             self.last[k] = token.endswith("</w>")
-        self.closing: dict[str, bytes] = {}
-        self._each(list(_CLOSING), self.closing)
         # the same model and byte alphabet, for pieces that need no pattern to be cut
         self.plain = Tokenizer.from_file(path)
         if words:
@@ -102,78 +118,89 @@ class PieceEncoder:
         ])
 
     @classmethod
-    def of(cls, path: str, words: bool) -> "PieceEncoder":
+    def of(cls, path: str, words: bool) -> PieceEncoder:
         """words: the tokenizer drops white space and ends each word."""
         if (path, words) not in cls._kept:
             cls._kept[path, words] = cls(path, words)
         return cls._kept[path, words]
 
-    def _each(self, new: list[str], into: dict[str, bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        into.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, encoded, strict=True))
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
     def _letters(self, part: list[str], into: dict[str, bytes]) -> None:
-        """Encode pieces of plain letters, many in one call, and cut the ids apart again.
+        """Encode keys of plain letters, many in one call, and cut the ids apart again.
 
         With words: each ends with an id that ends a word, and white space is dropped. Otherwise
         each begins with a space, and ids stand for a known number of bytes.
         """
-        [encoded] = self.plain.encode_batch_fast([(" " if self.words else "").join(part)], add_special_tokens=False)
+        joined = " ".join(part) if self.words else " " + " ".join(part)
+        [encoded] = self.plain.encode_batch_fast([joined], add_special_tokens=False)
         ids = np.array(encoded.ids, dtype="<u4")
         if self.words:
             ends = np.flatnonzero(self.last[ids]) + 1
         else:
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) + 1 for p in part])) + 1
         raw, start = ids.tobytes(), 0
         for p, end in zip(part, (4 * ends).tolist(), strict=True):
             into[p] = raw[start:end]
             start = end
 
-    def _fill(self, new: list[str], into: dict[str, bytes]) -> None:
-        """Encode distinct pieces. One of letters is one pre-token; a closing mark is one more."""
-        at = 0 if self.words else 1
-        rest, letters, closed = [], set(), []
-        for p in new:
-            body = p[at:]
-            if (at == 0 or p[0] == " ") and body.isalpha() and max(body) < _PLAIN:
-                letters.add(p)
-            elif (at == 0 or p[0] == " ") and body[-1:] in _CLOSING and (word := body[:-1]).isalpha() and max(word) < _PLAIN:
-                closed.append(p)
-                if p[:-1] not in into:
-                    letters.add(p[:-1])
+    def _fill(self, new: set[str], into: dict[str, bytes]) -> None:
+        """Encode distinct keys. Letters are one pre-token, marks after them another, and so is a line break between such."""
+        rest, letters, simple = [], set(), []
+        for key in new:
+            m = _SIMPLE.fullmatch(key)
+            if m and m[1]:
+                word, marks, line, next_word, next_marks = m.groups(default="")
+                if marks or line:
+                    if line and not (next_word or next_marks):
+                        rest.append(key)
+                        continue
+                    # what follows a line break has no leading space
+                    bare = next_word and (next_word if self.words else _BARE + next_word)
+                    simple.append((key, word, marks, line, bare, next_marks))
+                    if bare and bare not in into:
+                        if self.words:
+                            letters.add(bare)
+                        else:
+                            rest.append(bare)
+                    if word not in into:
+                        letters.add(word)
+                    for x in (marks, line, next_marks):
+                        if x not in self.marks:
+                            self.marks[x] = self._whole([x])[0]
+                else:
+                    letters.add(key)
             else:
-                rest.append(p)
+                rest.append(key)
         if letters:
             self._letters(list(letters), into)
-        for p in closed:
-            into[p] = into[p[:-1]] + self.closing[p[-1]]
         if rest:
-            self._each(rest, into)
+            rest = list(dict.fromkeys(rest))
+            texts = rest if self.words else [k[1:] if k[:1] == _BARE else " " + k for k in rest]
+            into.update(zip(rest, self._whole(texts), strict=True))
+        for key, word, marks, line, bare, next_marks in simple:
+            into[key] = b"".join((into[word], self.marks[marks], self.marks[line], into[bare] if bare else b"", self.marks[next_marks]))
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[str | None], entries: int = CACHE_ENTRIES) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        get = self.cache.get
-        found: list[tuple[list[str], list[bytes | None]]] = []
-        new: set[str] = set()
+        cache = self.cache
+        cache.age(entries)
+        find, unknown = cache.__getitem__, cache.unknown
+        found: list[tuple[list[bytes | str], bool]] = []
         for text in texts:
-            pieces = self.split(text) if text else []
-            ids = list(map(get, pieces))
-            if None in ids:
-                new.update([p for p, v in zip(pieces, ids, strict=True) if v is None])
-                found.append((pieces, ids))
-            else:
-                found.append((_NONE, ids))
-        if new:
-            here = self.cache
-            long = [p for p in new if len(p) > CACHE_CHARS]
-            self._fill([p for p in new if len(p) <= CACHE_CHARS], here)
-            if long:
-                once: dict[str, bytes] = {}
-                self._fill(long, once)
-                here = _Both(here, once)
-            for pieces, ids in found:
-                if pieces:
-                    ids[:] = [here[p] if v is None else v for p, v in zip(pieces, ids, strict=True)]
-        return [b"".join(ids) for _, ids in found]
+            before = len(unknown)
+            found.append((list(map(find, self.split(text) if text else [])), len(unknown) > before))
+        if not unknown:
+            return [b"".join(ids) for ids, _ in found]  # type: ignore[arg-type]
+        new = set(unknown)
+        unknown.clear()
+        long = {k for k in new if len(k) > CACHE_CHARS}
+        self._fill(new - long, cache)
+        here: dict[str, bytes] = cache
+        if long:
+            once: dict[str, bytes] = {}
+            self._fill(long, once)
+            here = {**{k: cache[k] for k in new - long}, **once}
+        return [b"".join([v if v.__class__ is bytes else here[v] for v in ids] if holes else ids) for ids, holes in found]  # type: ignore[arg-type, index]
