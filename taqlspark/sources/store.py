@@ -68,7 +68,8 @@ def save(spark: SparkSession, path: str, df: DataFrame, meta: dict[str, Any] | N
     files.make_dir(path)
     df.write.parquet(f"{path}/{data}")
     names = [c for c in df.columns if not c.startswith("__")]
-    fields = [f.jsonValue() for f in df.select(*[F.col(f"`{c}`") for c in names]).schema]
+    own = new.get("columns", {})
+    fields = [f.jsonValue() | {"metadata": f.metadata or own.get(f.name, {})} for f in df.select(*[F.col(f"`{c}`") for c in names]).schema]
     new |= {"data": data, "schema": {"type": "struct", "fields": fields}}
     for key in ("keywords", "column_keywords", "columns", "info"):
         new.setdefault(key, {})
@@ -95,7 +96,7 @@ def empty_rows(spark: SparkSession, schema: T.StructType, n: int) -> DataFrame:
             value = F.array_repeat(default_value(f.dataType.elementType), size).cast(f.dataType)
         else:
             value = default_value(f.dataType)
-        columns.append(value.alias(f.name))
+        columns.append(value.alias(f.name, metadata=f.metadata or {}))
     return rows.select(*columns, ROWID)
 
 

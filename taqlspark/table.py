@@ -468,7 +468,8 @@ class Table:
         staged = self.spark.createDataFrame(rows, T.StructType([T.StructField("__r", T.LongType()), T.StructField("__v", t)]))
         own = self.df().join(staged, F.col(ROWID) == F.col("__r"), "left")
         new = F.when(F.col("__v").isNull(), quoted(name)).otherwise(slices.overlay(quoted(name), places, F.col("__v")))
-        self._pending = own.withColumn(name, new.cast(t)).select(*self.df().columns)
+        meta = self.df().schema[name].metadata or {}
+        self._pending = own.withColumn(name, new.cast(t)).withMetadata(name, meta).select(*self.df().columns)
 
     def _put(self, name: str, cells: dict[int, Any]) -> None:
         t = self._need(name)
