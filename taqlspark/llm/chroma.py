@@ -170,7 +170,7 @@ def match(recordings: DataFrame, id_col: str, pcm: F.Column, query_modulus: int
     n_q, n_c = used.where("asked = 1").count(), used.count()
     q_blocks, c_runs = max(1, -(-n_q // queries)), max(1, -(-n_c // candidates))
     left = used.where("asked = 1").select(
-        F.pmod(F.xxhash64("class_id"), F.lit(q_blocks)).cast("int").alias("qb"), "class_id", "fp", F.explode(F.sequence(F.lit(0), F.lit(c_runs - 1))).alias("cr")
+        F.pmod(F.xxhash64("class_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.col("class_id").alias("q_id"), F.col("fp").alias("q_fp"), F.explode(F.sequence(F.lit(0), F.lit(c_runs - 1))).alias("cr")
     )
     right = used.select(
         F.pmod(F.xxhash64("class_id"), F.lit(c_runs)).cast("int").alias("cr"), "class_id", "fp", "n", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb")
@@ -179,14 +179,14 @@ def match(recordings: DataFrame, id_col: str, pcm: F.Column, query_modulus: int
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            qs = [np.frombuffer(x, "<u4") for x in a["fp"]]
+            qs = [np.frombuffer(x, "<u4") for x in a["q_fp"]]
             cs = [np.frombuffer(x, "<u4") for x in b["fp"]]
             flat = np.concatenate(cs)
             row = np.repeat(np.arange(len(cs)), [len(x) for x in cs])
             place = np.concatenate([np.arange(len(x)) for x in cs])
             order = np.argsort(flat, kind="stable")
             flat, row, place = flat[order], row[order], place[order]
-            for q, q_id in zip(qs, a["class_id"].tolist(), strict=True):
+            for q, q_id in zip(qs, a["q_id"].tolist(), strict=True):
                 lo, hi = np.searchsorted(flat, q, "left"), np.searchsorted(flat, q, "right")
                 # each distinct (row, offset) is counted; at most HELD pairs are held before they are
                 counts = np.zeros((0, 3), np.int64)
