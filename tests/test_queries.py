@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from conftest import DATA
 
+import taqlspark.table_queries  # noqa: F401
 from taqlspark.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -35,5 +36,10 @@ def test_query(spark, sql, name):
     assert ours == theirs
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_query_without_sql(spark, name):
+    assert QUERIES[name](spark, DATA).count() > 0
+
+
 def test_names():
     assert set(ORACLE_SQL) <= set(QUERIES)
