@@ -38,21 +38,77 @@ REQUIRED = {
     "SYSCAL": "ANTENNA_ID:int FEED_ID:int INTERVAL:double SPECTRAL_WINDOW_ID:int TIME:double",
     "WEATHER": "ANTENNA_ID:int INTERVAL:double TIME:double",
 }
+#: Further columns of the complete descriptions; [0d] is an array of any number of axes. Fixed values.
+OPTIONAL = {
+    "MAIN": "ANTENNA3:int BASELINE_REF:boolean CORRECTED_DATA:complex[0d] DATA:complex[0d] FEED3:int FLOAT_DATA:float[0d] IMAGING_WEIGHT:float[0d] LAG_DATA:complex[0d] MODEL_DATA:complex[0d] PHASE_ID:int PULSAR_BIN:int PULSAR_GATE_ID:int SIGMA_SPECTRUM:float[0d] TIME_EXTRA_PREC:double UVW2:double[0d] VIDEO_POINT:complex[0d] WEIGHT_SPECTRUM:float[0d] CORRECTED_WEIGHT_SPECTRUM:float[0d]",
+    "ANTENNA": "MEAN_ORBIT:double[0d] ORBIT_ID:int PHASED_ARRAY_ID:int",
+    "DATA_DESCRIPTION": "LAG_ID:int",
+    "FEED": "FOCUS_LENGTH:double PHASED_FEED_ID:int",
+    "FIELD": "EPHEMERIS_ID:int",
+    "POINTING": "ENCODER:double[0d] ON_SOURCE:boolean OVER_THE_TOP:boolean POINTING_MODEL_ID:int POINTING_OFFSET:double[0d] SOURCE_OFFSET:double[0d]",
+    "PROCESSOR": "PASS_ID:int",
+    "SOURCE": "POSITION:double[0d] PULSAR_ID:int REST_FREQUENCY:double[0d] SOURCE_MODEL:record SYSVEL:double[0d] TRANSITION:string[0d]",
+    "SPECTRAL_WINDOW": "ASSOC_NATURE:string[0d] ASSOC_SPW_ID:int[0d] BBC_NO:int BBC_SIDEBAND:int DOPPLER_ID:int RECEIVER_ID:int",
+}
+#: Pairs of value and flag of the two calibration tables, and which values are arrays.
+_FLAGGED = {"SYSCAL": ("PHASE_DIFF", "TANT", "TANT_TSYS", "TCAL", "TRX", "TSKY", "TSYS"), "WEATHER": ("DEW_POINT", "H2O", "IONOS_ELECTRON", "PRESSURE", "REL_HUMIDITY", "TEMPERATURE", "WIND_DIRECTION", "WIND_SPEED")}
+_TIMES, _RAD2, _ITRF = {"QuantumUnits": ["s"], "MEASINFO": {"type": "epoch", "Ref": "UTC"}}, {"QuantumUnits": ["rad", "rad"], "MEASINFO": {"type": "direction", "Ref": "J2000"}}, ["m", "m", "m"]
+#: Units and frames by column name, or by table and column where a name has two meanings. Fixed values.
+KEYWORDS: dict[str, dict[str, Any]] = {
+    **dict.fromkeys(("TIME", "TIME_CENTROID", "TIME_RANGE", "RELEASE_DATE", "TIME_ORIGIN"), _TIMES),
+    **dict.fromkeys(("BEAM_OFFSET", "DELAY_DIR", "PHASE_DIR", "REFERENCE_DIR", "DIRECTION", "TARGET", "ENCODER", "POINTING_OFFSET", "SOURCE_OFFSET"), _RAD2),
+    **dict.fromkeys(("INTERVAL", "EXPOSURE", "TIME_EXTRA_PREC"), {"QuantumUnits": ["s"]}),
+    **dict.fromkeys(("OFFSET", "POSITION"), {"QuantumUnits": _ITRF, "MEASINFO": {"type": "position", "Ref": "ITRF"}}),
+    **dict.fromkeys(("UVW", "UVW2"), {"QuantumUnits": _ITRF, "MEASINFO": {"type": "uvw", "Ref": "ITRF"}}),
+    **dict.fromkeys(("CHAN_WIDTH", "EFFECTIVE_BW", "RESOLUTION", "TOTAL_BANDWIDTH", "CHAN_FREQ", "REF_FREQUENCY", "FREQ_OFFSET.OFFSET"), {"QuantumUnits": ["Hz"]}),
+    **dict.fromkeys(("CAL", "LOAD", "TANT", "TCAL", "TRX", "TSKY", "TSYS", "DEW_POINT", "TEMPERATURE"), {"QuantumUnits": ["K"]}),
+    **dict.fromkeys(("RECEPTOR_ANGLE", "PHASE_DIFF", "WIND_DIRECTION"), {"QuantumUnits": ["rad"]}),
+    **dict.fromkeys(("DISH_DIAMETER", "FOCUS_LENGTH"), {"QuantumUnits": ["m"]}),
+    **dict.fromkeys(("H2O", "IONOS_ELECTRON"), {"QuantumUnits": ["m-2"]}),
+    "VELDEF": {"QuantumUnits": ["m/s"], "MEASINFO": {"type": "doppler", "Ref": "RADIO"}},
+    "PROPER_MOTION": {"QuantumUnits": ["rad/s"]},
+    "REST_FREQUENCY": {"QuantumUnits": ["Hz"], "MEASINFO": {"type": "frequency", "Ref": "LSRK"}},
+    "SYSVEL": {"QuantumUnits": ["m/s"], "MEASINFO": {"type": "radialvelocity", "Ref": "LSRK"}},
+    "PRESSURE": {"QuantumUnits": ["hPa"]}, "REL_HUMIDITY": {"QuantumUnits": ["%"]}, "WIND_SPEED": {"QuantumUnits": ["m/s"]},
+}
+
+
+def optional_columns(table: str) -> str:
+    """The further columns of a table; those of the calibration tables come from their pairs."""
+    out = OPTIONAL.get(table, "").split()
+    for name in _FLAGGED.get(table, ()):
+        array = table == "SYSCAL" and name != "PHASE_DIFF"
+        out += [f"{name}:float{'[0d]' if array else ''}", f"{name}_FLAG:boolean"]
+        if array:
+            out.append(f"{name}_SPECTRUM:float[0d]")
+    return " ".join(out)
+
+
+def column_keywords(table: str, column: str) -> dict[str, Any]:
+    """Units and frame of a column."""
+    base = column.removesuffix("_SPECTRUM") if table == "SYSCAL" else column
+    if base in ("TANT_TSYS",):
+        return {}
+    return KEYWORDS.get(f"{table}.{base}", KEYWORDS.get(base, {}))
+
+
 #: Subtables that a new Measurement Set has.
 LINKED = ("ANTENNA", "DATA_DESCRIPTION", "FEED", "FIELD", "FLAG_CMD", "HISTORY", "OBSERVATION", "POINTING", "POLARIZATION", "PROCESSOR", "SPECTRAL_WINDOW", "STATE")
 
 
-def required_schema(table: str = "MAIN") -> T.StructType:
-    """Schema of the required columns of MAIN or a subtable."""
+def required_schema(table: str = "MAIN", complete: bool = False) -> T.StructType:
+    """Schema of the required (or of all known) columns of MAIN or a subtable."""
     name = table.upper() or "MAIN"
     if name not in REQUIRED:
         raise TaqlError(f"no subtable {table}")
     fields = []
-    for item in REQUIRED[name].split():
+    for item in REQUIRED[name].split() + (optional_columns(name).split() if complete else []):
         column, _, kind = item.partition(":")
         base, _, shape = kind.rstrip("]").partition("[")
         element = TYPE_NAMES[base]
         meta: dict[str, Any] = {"valueType": base, "ndim": -1}
+        if keywords := column_keywords(name, column):
+            meta["keywords"] = keywords
         t: T.DataType = element
         if shape.endswith("d"):
             t, meta["ndim"] = store.variable(element), int(shape[:-1])
@@ -62,8 +118,14 @@ def required_schema(table: str = "MAIN") -> T.StructType:
     return T.StructType(fields)
 
 
+def complete_schema(table: str = "MAIN") -> T.StructType:
+    """Schema of all known columns."""
+    return required_schema(table, True)
+
+
 def _new(spark: SparkSession, path: str, schema: T.StructType, keywords: dict[str, Any]) -> None:
-    meta = {"keywords": keywords, "column_keywords": {}, "columns": {f.name: f.metadata for f in schema}, "info": {}}
+    own = {f.name: f.metadata["keywords"] for f in schema if f.metadata.get("keywords")}
+    meta = {"keywords": keywords, "column_keywords": own, "columns": {f.name: f.metadata for f in schema}, "info": {}}
     store.save(spark, path, store.empty_rows(spark, schema, 0), meta)
 
 

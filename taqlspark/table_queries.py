@@ -16,7 +16,7 @@ from .plans import dml
 from .queries import ORACLE_SQL, QUERIES, Query, rows
 from .session import stage_path
 from .sources.ascii import read_ascii
-from .sources.ms import add_imaging_columns, default_ms, required_schema
+from .sources.ms import add_imaging_columns, complete_schema, default_ms, required_schema
 from .table import Table, make_array_column, make_table
 
 
@@ -206,11 +206,11 @@ def imaging_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ms_schemas", None)
 def ms_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All required columns of all tables."""
+    """All known columns of all tables, and which are required."""
     from .sources.ms import REQUIRED
 
-    found = [(t, f.name, f.dataType.simpleString()) for t in REQUIRED for f in required_schema(t)]
-    return spark.createDataFrame(found, "table string, column string, type string")
+    found = [(t, f.name, f.dataType.simpleString(), f.name in required_schema(t).names) for t in REQUIRED for f in complete_schema(t)]
+    return spark.createDataFrame(found, "table string, column string, type string, required boolean")
 
 
 # Quantities and measures.

@@ -6,7 +6,7 @@ import pytest
 from taqlspark.engine import taql
 from taqlspark.operators.rows import ROWID
 from taqlspark.sources.ascii import read_ascii
-from taqlspark.sources.ms import LINKED, add_imaging_columns, default_ms, remove_imaging_columns, required_schema
+from taqlspark.sources.ms import LINKED, add_imaging_columns, complete_schema, default_ms, remove_imaging_columns, required_schema
 from taqlspark.table import Table, create_table, delete_table, make_array_column, make_scalar_column, make_table, open_table, table_exists
 from taqlspark.types import TaqlError
 
@@ -114,6 +114,8 @@ def test_measurement_set(spark, tmp_path):
     assert len(ms.colnames()) == 22 and len(ms) == 0
     assert len(ms.getsubtables()) == len(LINKED)
     assert open_table(spark, f"{tmp_path}/a.ms::ANTENNA").colnames() == required_schema("ANTENNA").names
+    assert ms.getcolkeyword("TIME", "MEASINFO.Ref") == "UTC" and ms.getcolkeywords("ANTENNA1") == {}
+    assert [len(complete_schema(t)) for t in ("MAIN", "ANTENNA", "SYSCAL", "WEATHER", "SOURCE")] == [39, 11, 25, 19, 16]
     ms.addrows(2)
     ms.flush()
     add_imaging_columns(ms)
