@@ -29,10 +29,10 @@ def read_rows(spark: SparkSession, path: str, columns: list[str] | None = None)
     for f, n in sorted(counts):
         starts.append(Row(__file=f, __start=at))
         at += n
-    # one row per file of the table
+    # one row per file of the table; whether that is sent to all tasks is left to Spark's size check
     offsets = spark.createDataFrame(starts, T.StructType([T.StructField("__file", T.StringType()), T.StructField("__start", T.LongType())]))
     own = df.select(*[F.col(f"`{c}`") for c in names], here.alias("__index"), F.col("_metadata.file_path").alias("__file"))
-    return own.join(F.broadcast(offsets), "__file").select(*[F.col(f"`{c}`") for c in names], (F.col("__index") + F.col("__start")).alias(ROWID))
+    return own.join(offsets, "__file").select(*[F.col(f"`{c}`") for c in names], (F.col("__index") + F.col("__start")).alias(ROWID))
 
 
 def number(df: DataFrame, name: str = ROWID) -> DataFrame:

@@ -36,11 +36,15 @@ def stage_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/taqlspark/{tag}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def stage(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    compact: the rows are far smaller than what they were made from, so that each task has only a few of
+    them; they are gathered into files of a useful size first.
+    """
     spark = df.sparkSession
     path = stage_path(spark, tag)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,8 +66,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def batches_of(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts still fits a worker."""
+    """Bound the rows and the bytes of an Arrow batch, so that a batch of very long texts still fits a worker."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
