@@ -156,7 +156,7 @@ def match(recordings: DataFrame, id_col: str, pcm: F.Column, query_modulus: int
     for a fingerprint are members of one class and match nothing. Repeated rows are members each.
     Other columns are not read. An empty table gives no rows.
     """
-    prints = stage(fingerprints(recordings, id_col, pcm, render), "chroma-prints")
+    prints = stage(fingerprints(recordings, id_col, pcm, render), "chroma-prints", compact=True)
     classes = stage(
         prints.groupBy("fp").agg(
             F.min("id").alias("class_id"),
@@ -165,7 +165,9 @@ def match(recordings: DataFrame, id_col: str, pcm: F.Column, query_modulus: int
         ),
         "chroma-classes",
     )
+    # a stage of its own, in which Spark can split the hot group of a fingerprint
     members = prints.join(classes.select("fp", "class_id"), "fp").select(F.lit("member").alias("kind"), "id", "class_id")
+    members = stage(members, "chroma-members")
     used = classes.where((F.length("fp") > 0) & F.col("class_id").isNotNull())
     n_q, n_c = used.where("asked = 1").count(), used.count()
     q_blocks, c_runs = max(1, -(-n_q // queries)), max(1, -(-n_c // candidates))
