@@ -250,6 +250,43 @@ _ARRAYS = {
 for _name, (_t, _s) in _ARRAYS.items():
     statement(f"array_{_name}", f"SELECT vec_id, {_t} AS v FROM $1", "embeddings", f"SELECT vec_id, {_s if 'BIGINT' in _s else f'round({_s}, 5)'} AS v FROM embeddings", 5)
 
+# Each statistic across arrays (with a scalar among them), and of prefixes under both names.
+_SQL_STATISTICS = {
+    "SUM": "list_sum({l})",
+    "PRODUCT": "list_product({l})",
+    "SUMSQR": "list_sum(list_transform({l}, lambda x: x*x))",
+    "MIN": "list_min({l})",
+    "MAX": "list_max({l})",
+    "MEAN": "list_avg({l})",
+    "AVG": "list_avg({l})",
+    "VARIANCE": "list_var_pop({l})",
+    "SAMPLEVARIANCE": "list_var_samp({l})",
+    "STDDEV": "list_stddev_pop({l})",
+    "SAMPLESTDDEV": "list_stddev_samp({l})",
+    "AVDEV": "list_avg(list_transform({l}, lambda x: abs(x - list_avg({l}))))",
+    "RMS": "sqrt(list_avg(list_transform({l}, lambda x: x*x)))",
+    "MEDIAN": "list_median({l})",
+    "ANY": "list_bool_or(list_transform({l}, lambda x: x <> 0))",
+    "ALL": "list_bool_and(list_transform({l}, lambda x: x <> 0))",
+    "NTRUE": "CAST(len(list_filter({l}, lambda x: x <> 0)) AS BIGINT)",
+    "NFALSE": "CAST(len(list_filter({l}, lambda x: x = 0)) AS BIGINT)",
+}
+_THREE, _PREFIX = f"[{_E}[4], {_E}[61], 2.0::DOUBLE]", f"{_E}[1:6]"
+for _name, _s in _SQL_STATISTICS.items():
+    _whole = _name in ("ANY", "ALL", "NTRUE", "NFALSE")
+    for _query, _t, _list in (
+        (f"array_plural_{_name.lower()}", f"{_name}S(embedding, AREVERSE(embedding), 2)[3]", _THREE),
+        (f"array_running_{_name.lower()}", f"RUNNING{_name}(embedding)[5]", _PREFIX),
+        (f"array_boxed_{_name.lower()}", f"BOXED{_name}(embedding)[5]", _PREFIX),
+    ):
+        _sql = _s.format(l=_list)
+        statement(_query, f"SELECT vec_id, {_t} AS v FROM $1", "embeddings", f"SELECT vec_id, {_sql if _whole else f'round({_sql}, 5)'} AS v FROM embeddings", 5)
+statement("array_hdms", "SELECT vec_id, HDMS(ARRAY(0, PI()/2, -PI()/2))[1] AS v, NELEMENTS(HDMS(embedding)) AS n FROM $1", "embeddings", "SELECT vec_id, '+090d00m00.000' AS v, CAST(64 AS BIGINT) AS n FROM embeddings")
+statement("complex_parts", "SELECT l_orderkey, l_linenumber, ARG(CONJ(COMPLEX(l_tax, l_quantity))) AS a, AMPLITUDE(FORMCOMPLEX(l_tax, l_quantity)) AS m, COMPLEX(l_tax, 1)[1] AS i, COMPLEX(l_tax, 0.) = COMPLEX(0.05, 0.) AS same FROM $1", "lineitem", "SELECT l_orderkey, l_linenumber, round(atan2(-l_quantity, l_tax), 6) AS a, round(sqrt(l_tax*l_tax+l_quantity*l_quantity), 6) AS m, 1.0::DOUBLE AS i, l_tax = 0.05 AS same FROM lineitem", 6)
+statement("precedence", "SELECT l_orderkey, l_linenumber, l_linenumber + 2 * 3 - -l_linenumber % 2 AS v, l_linenumber > 2 OR l_linenumber = 1 AND l_tax > 0.05 AS w, NOT l_linenumber = 3 AS x FROM $1", "lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber + 6 - ((-l_linenumber) % 2) AS BIGINT) AS v, l_linenumber > 2 OR (l_linenumber = 1 AND l_tax > 0.05) AS w, l_linenumber <> 3 AS x FROM lineitem")
+statement("literals", "SELECT UNIQUE 1. AS a, 1e3 AS b, 'it''s' AS c, TRUE AS d, .5 AS e, 42 AS f FROM $1", "region", "SELECT 1.0::DOUBLE AS a, 1000.0::DOUBLE AS b, 'it''s' AS c, true AS d, 0.5::DOUBLE AS e, CAST(42 AS BIGINT) AS f")
+statement("event_times", "SELECT event_id, MJD(ts) AS m, CDATE(ts) AS t, value FROM $1 WHERE event_type = 'click' ORDERBY ts DESC LIMIT 100", "events", f"SELECT event_id, round(date_diff('day', DATE '1858-11-17', CAST(ts AS DATE)) + (hour(ts)*3600+minute(ts)*60+second(ts)+(microsecond(ts)%1000000)/1e6)/86400.0, 6) AS m, strftime(ts, '%d-%b-%Y') AS t, round(value, 6) AS value FROM {rows('events')} WHERE event_type = 'click' ORDER BY ts DESC, rid DESC LIMIT 100", 6)
+
 # Row lookups, the only operator over two tables.
 statement("lookup_subquery", "SELECT c_custkey, [SELECT n_name FROM $2][c_nationkey] AS nation FROM $1", "customer nation", f"SELECT c_custkey, n_name AS nation FROM customer JOIN {rows('nation')} ON rid = c_nationkey")
 statement("lookup_where", "SELECT c_custkey FROM $1 WHERE [SELECT n_regionkey FROM $2][c_nationkey] = 2", "customer nation", f"SELECT c_custkey FROM customer JOIN {rows('nation')} ON rid = c_nationkey WHERE n_regionkey = 2")
