@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import batches_of
-from .pieces import CACHE_ENTRIES, PieceEncoder
+from .pieces import CACHE_ENTRIES, ENCODED_ROWS, PieceEncoder
 
 #: Limits of a sequence, and sequences that a task holds open.
 TOKENS, SEGMENTS, OPEN = 4096, 512, 16
@@ -224,7 +224,7 @@ def pack_texts(
     sequence_id is unique over the result; it holds the task and a running number. cache_entries bounds
     the encoder's cache; where workers serve other steps too, fewer leave them more memory.
     """
-    batches_of(docs.sparkSession)
+    batches_of(docs.sparkSession, ENCODED_ROWS)
     own = limits or Limits()
     kinds = _TEXTS if keep_ids else _TEXTS[:-1]
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -250,7 +250,7 @@ def pack_texts(
 
         for b in batches:
             rows = []
-            for key, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist(), cache_entries), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1), cache_entries), strict=True):
                 ids += end
                 rows += out(packer.add(Example((key, ids), 0, len(ids) // 4, 0)))
             yield _table(rows, kinds)

@@ -10,53 +10,43 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Entries of one of the cache's two generations; bounds a worker's memory (about 160 bytes each).
-CACHE_ENTRIES = 500_000
+#: Entries of one of the cache's two generations; bounds a worker's memory (about 200 bytes each).
+CACHE_ENTRIES = 300_000
+#: Texts in an Arrow batch: the more, the more often a piece is met twice in it and looked up once.
+ENCODED_ROWS = 2048
 #: Pieces longer than this are encoded without being kept.
 CACHE_CHARS = 64
-#: Letters below this are the same in every version of Unicode and have no normal form but themselves.
-_PLAIN = "ɐ"
 
 #: White space in the widest sense of any library; a space after it is no safe cut.
 _SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0 ᠎           ​‌‍    ⁠　﻿"
-_UNSAFE = [c + " " for c in _SPACES]
-#: Begins the key of a piece without a leading space.
+#: Begins the key of a piece without a leading space or line break.
 _BARE = "\0"
 
 
 def byte_level_keys(text: str) -> list[str]:
-    """Pieces cut before each space that follows a character that isn't white space.
+    """Pieces cut before each space or line break that follows a character that isn't white space.
 
-    A byte-level pre-token holds a space only as its first character or within a run of white space,
-    so such a cut is always a border between pre-tokens. A piece is named by what follows its leading
-    space, or by _BARE and its text if it has none; texts that hold _BARE are one piece.
+    A byte-level pre-token holds white space only as a space at its beginning or in a run of white
+    space, so such a cut is always a border between pre-tokens. A piece is named by what follows its
+    leading space, by itself if it begins with a line break, else by _BARE and its text. Texts that
+    hold _BARE are one piece.
     """
     if _BARE in text:
         return [_BARE + text]
-    parts = text.split(" ")
-    if text[0] != " " and not any(x in text for x in _UNSAFE):
-        parts[0] = _BARE + parts[0]
-        return parts
-    out = [parts[0]]
-    for part in parts[1:]:
+    out = [""]
+    for part in re.split("(?=[ \n])", text):
         if not out[-1] or out[-1][-1] in _SPACES:
-            out[-1] += " " + part
+            out[-1] += part
         else:
-            out.append(" " + part)
-    return [p[1:] if p[0] == " " and len(p) > 1 and k else _BARE + p for k, p in enumerate(out) if p]
+            out.append(part)
+    return [p[1:] if p[0] == " " and len(p) > 1 and p[1] != "\n" else p if p[0] == "\n" else _BARE + p for p in out if p]
 
 
-_ASCII_SPACE = re.compile(r"[^ \t\n\r]+")
-
-
-def word_keys(text: str) -> list[str]:
-    """Runs without ASCII white space, for a tokenizer that drops white space."""
-    return _ASCII_SPACE.findall(text)
-
-
-#: Letters, then marks, then at most one line break and more of the same.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ɏ]*)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*))?")
+#: What a key begins with, plain letters (one pre-token), and marks (another).
+_SIMPLE = "^(?P<lead>[\\x00\n]?)(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)$"
 
 
 class _Cache(dict):  # type: ignore[type-arg]
@@ -98,7 +88,6 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        self.split = word_keys if words else byte_level_keys
         self.cache = _Cache()
         self.marks: dict[str, bytes] = {"": b""}
         # a byte-level vocabulary writes every byte as one character
@@ -109,13 +98,13 @@ class PieceEncoder:
             self.lengths[k] = len(token)
             self.last[k] = token.endswith("</w>")
         # the same model and byte alphabet, for pieces that need no pattern to be cut
-        self.plain = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
         if words:
             self.plain.normalizer = normalizers.Lowercase()
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(" ", "removed" if words else "merged_with_next"),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-        ])
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed" if words else "merged_with_next"), bytes_only])
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), bytes_only])
 
     @classmethod
     def of(cls, path: str, words: bool) -> PieceEncoder:
@@ -128,79 +117,108 @@ class PieceEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _letters(self, part: list[str], into: dict[str, bytes]) -> None:
-        """Encode keys of plain letters, many in one call, and cut the ids apart again.
+    def _letters(self, words: pa.Array, bare: bool) -> pa.Array:
+        """Ids of distinct words of plain letters, encoded in one call and cut apart again.
 
-        With words: each ends with an id that ends a word, and white space is dropped. Otherwise
-        each begins with a space, and ids stand for a known number of bytes.
+        With words: each ends with an id that ends a word. Otherwise each follows a space (or, bare,
+        stands alone), and ids stand for a known number of bytes.
         """
-        joined = " ".join(part) if self.words else " " + " ".join(part)
-        [encoded] = self.plain.encode_batch_fast([joined], add_special_tokens=False)
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        gap = "\n" if bare and not self.words else " "
+        joined = ("" if self.words or bare else " ") + gap.join(words.to_pylist())
+        plain = self.bare if bare and not self.words else self.plain
+        [encoded] = plain.encode_batch_fast([joined], add_special_tokens=False)
         ids = np.array(encoded.ids, dtype="<u4")
         if self.words:
             ends = np.flatnonzero(self.last[ids]) + 1
         else:
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) + 1 for p in part])) + 1
-        raw, start = ids.tobytes(), 0
-        for p, end in zip(part, (4 * ends).tolist(), strict=True):
-            into[p] = raw[start:end]
-            start = end
-
-    def _fill(self, new: set[str], into: dict[str, bytes]) -> None:
-        """Encode distinct keys. Letters are one pre-token, marks after them another, and so is a line break between such."""
-        rest, letters, simple = [], set(), []
-        for key in new:
-            m = _SIMPLE.fullmatch(key)
-            if m and m[1]:
-                word, marks, line, next_word, next_marks = m.groups(default="")
-                if marks or line:
-                    if line and not (next_word or next_marks):
-                        rest.append(key)
-                        continue
-                    # what follows a line break has no leading space
-                    bare = next_word and (next_word if self.words else _BARE + next_word)
-                    simple.append((key, word, marks, line, bare, next_marks))
-                    if bare and bare not in into:
-                        if self.words:
-                            letters.add(bare)
-                        else:
-                            rest.append(bare)
-                    if word not in into:
-                        letters.add(word)
-                    for x in (marks, line, next_marks):
-                        if x not in self.marks:
-                            self.marks[x] = self._whole([x])[0]
-                else:
-                    letters.add(key)
-            else:
-                rest.append(key)
-        if letters:
-            self._letters(list(letters), into)
+            sizes = np.asarray(pc.binary_length(words)).astype(np.int64) + (0 if bare else 1)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+        bounds = np.append(0, 4 * ends).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ids.tobytes())])
+
+    def _fill(self, new: list[str], into: dict[str, bytes]) -> None:
+        """Encode distinct keys. Letters are one pre-token, marks after them another, a line break before them one too."""
+        keys = pa.array(new, pa.large_string())
+        parts = pc.extract_regex(keys, _SIMPLE)
+        simple = parts.is_valid()
+        for lead in ("",) if self.words else ("", _BARE, "\n"):
+            mine = pc.and_(simple, pc.fill_null(pc.equal(pc.struct_field(parts, "lead"), lead), False))
+            found = parts.filter(mine)
+            if not len(found):
+                continue
+            words, marks = (pc.struct_field(found, f).dictionary_encode() for f in ("word", "marks"))
+            own = self._letters(words.dictionary, bool(lead)).take(words.indices)
+            for m in ("\n", *marks.dictionary.to_pylist()):
+                if m not in self.marks:
+                    self.marks[m] = self._whole([m])[0]
+            after = pa.array([self.marks[m] for m in marks.dictionary.to_pylist()], pa.large_binary()).take(marks.indices)
+            before = pa.scalar(self.marks["\n"] if lead == "\n" else b"", pa.large_binary())
+            whole = pc.binary_join_element_wise(before, own, after, pa.scalar(b"", pa.large_binary()))
+            into.update(zip(keys.filter(mine).to_pylist(), whole.to_pylist(), strict=True))
+        rest = keys.filter(pc.invert(simple)).to_pylist()
+        if self.words:  # a word whose first character the pattern takes for a lead
+            rest += keys.filter(pc.and_(simple, pc.fill_null(pc.not_equal(pc.struct_field(parts, "lead"), ""), False))).to_pylist()
         if rest:
-            rest = list(dict.fromkeys(rest))
-            texts = rest if self.words else [k[1:] if k[:1] == _BARE else " " + k for k in rest]
+            texts = rest if self.words else [k[1:] if k[:1] == _BARE else k if k[:1] == "\n" else " " + k for k in rest]
             into.update(zip(rest, self._whole(texts), strict=True))
-        for key, word, marks, line, bare, next_marks in simple:
-            into[key] = b"".join((into[word], self.marks[marks], self.marks[line], into[bare] if bare else b"", self.marks[next_marks]))
 
-    def ids(self, texts: list[str | None], entries: int = CACHE_ENTRIES) -> list[bytes]:
-        """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
-        cache = self.cache
+    def _known(self, keys: list[str], entries: int) -> list[bytes]:
+        """Ids of distinct keys, in their order."""
+        cache, unknown = self.cache, self.cache.unknown
         cache.age(entries)
-        find, unknown = cache.__getitem__, cache.unknown
-        found: list[tuple[list[bytes | str], bool]] = []
-        for text in texts:
-            before = len(unknown)
-            found.append((list(map(find, self.split(text) if text else [])), len(unknown) > before))
+        found = list(map(cache.__getitem__, keys))
         if not unknown:
-            return [b"".join(ids) for ids, _ in found]  # type: ignore[arg-type]
+            return found  # type: ignore[return-value]
         new = set(unknown)
         unknown.clear()
         long = {k for k in new if len(k) > CACHE_CHARS}
-        self._fill(new - long, cache)
-        here: dict[str, bytes] = cache
+        self._fill(list(new - long), cache)
+        once: dict[str, bytes] = {}
         if long:
-            once: dict[str, bytes] = {}
-            self._fill(long, once)
-            here = {**{k: cache[k] for k in new - long}, **once}
-        return [b"".join([v if v.__class__ is bytes else here[v] for v in ids] if holes else ids) for ids, holes in found]  # type: ignore[arg-type, index]
+            self._fill(list(long), once)
+        return [v if v.__class__ is bytes else once[v] if v in long else cache[v] for v in found]  # type: ignore[misc]
+
+    def ids(self, texts: pa.Array | list[str | None], entries: int = CACHE_ENTRIES) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian unsigned 32-bit integers.
+
+        Texts are cut, and equal pieces of a batch found, by Arrow; Python sees each distinct piece once,
+        and Arrow puts the ids of all pieces together again.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return []
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        if self.words:
+            lists = pc.ascii_split_whitespace(column)
+        else:  # a line break begins a piece, like a space
+            lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        pieces = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        at, names = np.asarray(pieces.indices).astype(np.int64), pieces.dictionary
+        keys, rows = names.to_pylist(), len(column)
+        slow: dict[int, list[bytes]] = {}
+        if not self.words:
+            # after a piece that is empty or ends in white space the next cut isn't safe; such texts are cut one by one
+            ending = pc.is_in(pc.utf8_slice_codeunits(names, -1), pa.array([*_SPACES, ""], pa.large_string()))
+            odd = np.asarray(pc.or_(ending, pc.match_substring(names, _BARE)))
+            if odd.any():
+                for i in np.unique(np.repeat(np.arange(rows), np.diff(bounds))[odd[at]]).tolist():
+                    slow[i] = self._known(byte_level_keys(column[i].as_py()), entries)
+            # the first piece of a text has no space before it
+            first = [keys[i] for i in at[bounds[:-1]].tolist()]
+            bare = [w if w[:1] == "\n" else _BARE + w for w in first]
+            at[bounds[:-1]] = len(keys) + np.arange(rows)
+            keys += bare
+        joined = pa.array(self._known(keys, entries), pa.large_binary()).take(pa.array(at))
+        _, ends, data = joined.buffers()
+        ends_of = np.frombuffer(ends, np.int64, len(at) + 1, 8 * joined.offset)[bounds].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        out = [bytes(view[i:j]) for i, j in zip(ends_of, ends_of[1:], strict=False)]
+        for i, known in slow.items():
+            out[i] = b"".join(known)
+        del column, lists, pieces, names, joined, ends, data, view
+        pa.default_memory_pool().release_unused()
+        return out
