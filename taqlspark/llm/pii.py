@@ -285,7 +285,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     with null ids and repeated rows each give a row. Overlapping candidates of a text may both be added.
     Other columns are not read. Empty tables give no rows.
     """
-    scanned = stage(scan(docs, id_col, text_col), "pii-scan")
+    scanned = stage(scan(docs, id_col, text_col), "pii-scan", compact=True)
     added = stage(added_spans(scanned, bootstrap(scanned)), "pii-added")
     own = scanned.drop("found")
     more = added.select(F.col("id").alias("_id"), F.col("text_hash").alias("_h"), "added")
@@ -332,7 +332,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     Texts without spans, nulls among them, stay as they are. Rows are neither added nor dropped. Base
     spans are found where the text is; only the few added spans are joined to it.
     """
-    scanned = stage(scan(docs, id_col, text_col), "pii-scan")
+    scanned = stage(scan(docs, id_col, text_col), "pii-scan", compact=True)
     added = stage(added_spans(scanned, bootstrap(scanned)), "pii-added")
     more = added.select(F.col("id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.col("added").alias("_pii_added"))
     own = docs.withColumn("_pii_own", F.xxhash64(F.col(text_col)))

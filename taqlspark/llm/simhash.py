@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with a null id take part and get their component's smallest id, which is null if no member has
     one. Repeated rows stay. Other columns are not looked at.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    prints = stage(fingerprints(docs, id_col, text_col, words), "fingerprints", compact=True)
     distinct = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
     distinct = stage(distinct, "distinct-fingerprints")
     roots = components(links(distinct.select("fp")))
