@@ -16,7 +16,7 @@ CACHE_ENTRIES = 100_000
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.score(docs, model).where(f"score >= {quality.THRESHOLD}")
+    kept = quality.score(docs, model, name="_quality").where(f"_quality >= {quality.THRESHOLD}")
     return kept.select(*docs.columns)
 
 

@@ -186,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(xp, xu, prior)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) of each row with ``score``; needs no shuffle.
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Columns ``keep`` (default: all) of each row with its score under ``name``; needs no shuffle.
 
     Null and empty texts get a score too: that of all-zero features.
     """
@@ -199,4 +199,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
             x = np.array([features(t) for t in c]).reshape(-1, len(FEATURES))
             yield pd.Series(model.score(x))
 
-    return docs.select(*(keep if keep is not None else docs.columns), of(F.col(text_col).cast("binary")).alias("score"))
+    return docs.select(*(keep if keep is not None else docs.columns), of(F.col(text_col).cast("binary")).alias(name))

@@ -55,3 +55,22 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, further columns with names that operators use, and no rows at all."""
+    rows = [(i, t, "en", None, 1, 0.5, 7, "k") for i, t in [(1, ""), (2, None), (3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (4, "mail me@x.org now " * 3000), (None, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, id string")
+    spark.createDataFrame([(3, 1, 0), (None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for frame in (docs, docs.limit(0)):
+        for name, apply in corpus_pipeline.STAGES:
+            out = apply(spark, frame, str(tmp_path))
+            found = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns
+            if name == "near_duplicates" and frame is docs:
+                assert sorted(str(r["doc_id"]) for r in found) == ["1", "3", "4"]
+            if name == "personal_data" and frame is docs:
+                assert len(found) == len(rows) and max(len(r["text"] or "") for r in found) == len("mail <email> now " * 3000)
+            if frame is not docs:
+                assert found == []
