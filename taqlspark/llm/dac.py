@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import batches_of, partitions_for, stage
-from .pieces import PieceEncoder
+from .pieces import ENCODED_ROWS, PieceEncoder
 
 MAGIC = b"DACTOK1\n"
 #: Bits a rank entry covers, and ids after which a shard is closed.
@@ -46,7 +46,7 @@ BLOCK, SHARD_IDS = 512, 4_000_000
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(codes, bitmap, directory) of each level of unsigned 32-bit ids."""
-    rest, levels = ids.astype(np.uint32), []
+    rest, levels = ids.astype(np.uint32, copy=False), []
     while True:
         more = rest > 0xFF
         bitmap = np.packbits(more, bitorder="little")
@@ -116,15 +116,19 @@ class Shard:
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids from start to stop: each level's run is found by two ranks."""
-        value, at, shift = np.zeros(stop - start, np.uint32), np.arange(stop - start), 0
-        for level, (codes, bitmap, _) in enumerate(self.levels):
-            if stop <= start:
-                break
-            value[at] |= codes[start:stop].astype(np.uint32) << np.uint32(shift)
+        if stop <= start:
+            return np.zeros(0, np.uint32)
+        value, at = self.levels[0][0][start:stop].astype(np.uint32), None
+        for level in range(1, len(self.levels)):
+            bitmap = self.levels[level - 1][1]
             bits = np.unpackbits(bitmap[start // 8 : -(-stop // 8)], bitorder="little")[start % 8 :][: stop - start]
-            at, shift = at[bits.astype(bool)], shift + 8
-            start = self.rank(level, start)
+            go_on = np.flatnonzero(bits)
+            if not len(go_on):
+                break
+            at = go_on if at is None else at[go_on]
+            start = self.rank(level - 1, start)
             stop = start + len(at)
+            value[at] |= self.levels[level][0][start:stop].astype(np.uint32) << np.uint32(8 * level)
         return value
 
 
@@ -145,7 +149,7 @@ def write_tokens(
     Manifest: (file string, documents long, ids long).
     """
     spark = docs.sparkSession
-    batches_of(spark)
+    batches_of(spark, ENCODED_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer, words=False)
@@ -161,16 +165,18 @@ def write_tokens(
             nonlocal made, held
             name = f"part-{part:06d}-{made:06d}.dac"
             passing = f"{folder}/.{name}.{uuid.uuid4().hex}"
+            raw = b"".join(parts)
+            parts.clear()
             with fs.open_output_stream(passing) as f:
-                f.write(write_shard(keys, counts, np.frombuffer(b"".join(parts), "<u4")))
+                f.write(write_shard(keys, counts, np.frombuffer(raw, "<u4")))
             fs.move(passing, f"{folder}/{name}")
             done = pa.record_batch([[name], [len(keys)], [held]], names=["file", "documents", "ids"])
             made, held = made + 1, 0
-            keys.clear(), counts.clear(), parts.clear()
+            keys.clear(), counts.clear()
             return done
 
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist()), strict=True):
+            for key, ids in zip(b.column(0).to_pylist(), encoder.ids(b.column(1)), strict=True):
                 ids += end
                 keys.append(key)
                 counts.append(len(ids) // 4)
@@ -204,14 +210,15 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, keep_ids: b
             for base, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 shard = Shard(content.as_py())
                 bounds = shard.starts.tolist()
+                every = shard.ids(0, shard.n).astype("<u4", copy=False)
                 for k in range(0, len(shard.doc_ids), 4096):
                     spans = list(zip(bounds[k : k + 4096], bounds[k + 1 : k + 4097], strict=False))
-                    found = [shard.ids(i, j).astype("<u4") for i, j in spans]
+                    found = [every[i:j] for i, j in spans]
                     columns = [
                         pa.array(shard.doc_ids[k : k + len(spans)], pa.int64()),
                         pa.array([base + i for i, _ in spans], pa.int64()),
                         pa.array([j - i for i, j in spans], pa.int64()),
-                        pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in found], pa.int64()),
                     ]
                     if keep_ids:
                         columns.append(pa.array([x.tolist() for x in found], pa.list_(pa.int64())))

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of one of the cache's two generations; bounds a worker's memory (about 200 bytes each).
-CACHE_ENTRIES = 300_000
+#: Pieces that are kept, the latest used first; bounds a worker's memory (about 50 bytes each).
+CACHE_ENTRIES = 800_000
 #: Texts in an Arrow batch: the more, the more often a piece is met twice in it and looked up once.
 ENCODED_ROWS = 2048
 #: Pieces longer than this are encoded without being kept.
@@ -49,31 +49,6 @@ def byte_level_keys(text: str) -> list[str]:
 _SIMPLE = "^(?P<lead>[\\x00\n]?)(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)$"
 
 
-class _Cache(dict):  # type: ignore[type-arg]
-    """Ids by key, in two generations: what is used again moves to the young one, the old one is dropped when that is full.
-
-    An unknown key is noted and stands for itself.
-    """
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.unknown: list[str] = []
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> str | bytes:
-        found = self.old.get(key)
-        if found is not None:
-            self[key] = found
-            return found
-        self.unknown.append(key)
-        return key
-
-    def age(self, most: int) -> None:
-        if len(self) > most:
-            self.old = dict(self)
-            self.clear()
-
-
 class PieceEncoder:
     """Encodes texts with a ``tokenizers`` file; one per worker and file."""
 
@@ -88,7 +63,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        self.cache = _Cache()
+        self.keys, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.marks: dict[str, bytes] = {"": b""}
         # a byte-level vocabulary writes every byte as one character
         vocabulary = self.tokenizer.get_vocab()
@@ -138,16 +113,17 @@ class PieceEncoder:
         bounds = np.append(0, 4 * ends).astype(np.int64)
         return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(ids.tobytes())])
 
-    def _fill(self, new: list[str], into: dict[str, bytes]) -> None:
-        """Encode distinct keys. Letters are one pre-token, marks after them another, a line break before them one too."""
-        keys = pa.array(new, pa.large_string())
+    def _encode(self, keys: pa.Array) -> pa.Array:
+        """Ids of distinct keys. Letters are one pre-token, marks after them another, a line break before them one too."""
         parts = pc.extract_regex(keys, _SIMPLE)
-        simple = parts.is_valid()
+        simple = np.asarray(parts.is_valid())
+        leads = pc.struct_field(parts, "lead")
+        order, out, rest = [], [], np.ones(len(keys), bool)
         for lead in ("",) if self.words else ("", _BARE, "\n"):
-            mine = pc.and_(simple, pc.fill_null(pc.equal(pc.struct_field(parts, "lead"), lead), False))
-            found = parts.filter(mine)
-            if not len(found):
+            mine = simple & np.asarray(pc.fill_null(pc.equal(leads, lead), False))
+            if not mine.any():
                 continue
+            found = parts.filter(pa.array(mine))
             words, marks = (pc.struct_field(found, f).dictionary_encode() for f in ("word", "marks"))
             own = self._letters(words.dictionary, bool(lead)).take(words.indices)
             for m in ("\n", *marks.dictionary.to_pylist()):
@@ -155,30 +131,36 @@ class PieceEncoder:
                     self.marks[m] = self._whole([m])[0]
             after = pa.array([self.marks[m] for m in marks.dictionary.to_pylist()], pa.large_binary()).take(marks.indices)
             before = pa.scalar(self.marks["\n"] if lead == "\n" else b"", pa.large_binary())
-            whole = pc.binary_join_element_wise(before, own, after, pa.scalar(b"", pa.large_binary()))
-            into.update(zip(keys.filter(mine).to_pylist(), whole.to_pylist(), strict=True))
-        rest = keys.filter(pc.invert(simple)).to_pylist()
-        if self.words:  # a word whose first character the pattern takes for a lead
-            rest += keys.filter(pc.and_(simple, pc.fill_null(pc.not_equal(pc.struct_field(parts, "lead"), ""), False))).to_pylist()
-        if rest:
-            texts = rest if self.words else [k[1:] if k[:1] == _BARE else k if k[:1] == "\n" else " " + k for k in rest]
-            into.update(zip(rest, self._whole(texts), strict=True))
-
-    def _known(self, keys: list[str], entries: int) -> list[bytes]:
-        """Ids of distinct keys, in their order."""
-        cache, unknown = self.cache, self.cache.unknown
-        cache.age(entries)
-        found = list(map(cache.__getitem__, keys))
-        if not unknown:
-            return found  # type: ignore[return-value]
-        new = set(unknown)
-        unknown.clear()
-        long = {k for k in new if len(k) > CACHE_CHARS}
-        self._fill(list(new - long), cache)
-        once: dict[str, bytes] = {}
-        if long:
-            self._fill(list(long), once)
-        return [v if v.__class__ is bytes else once[v] if v in long else cache[v] for v in found]  # type: ignore[misc]
+            out.append(pc.binary_join_element_wise(before, own, after, pa.scalar(b"", pa.large_binary())))
+            order.append(np.flatnonzero(mine))
+            rest &= ~mine
+        if rest.any():
+            names = keys.filter(pa.array(rest)).to_pylist()
+            texts = names if self.words else [k[1:] if k[:1] == _BARE else k if k[:1] == "\n" else " " + k for k in names]
+            out.append(pa.array(self._whole(texts), pa.large_binary()))
+            order.append(np.flatnonzero(rest))
+        if not out:
+            return pa.array([], pa.large_binary())
+        return pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
+
+    def _known(self, keys: pa.Array, entries: int) -> pa.Array:
+        """Ids of keys, in their order. Those not in the cache are encoded; what is used stays longest."""
+        every = keys.dictionary_encode()
+        distinct = every.dictionary
+        at = pc.index_in(distinct, value_set=self.keys)
+        missing = np.asarray(at.is_null())
+        new = distinct.filter(pa.array(missing))
+        made = self._encode(new)
+        place = np.asarray(pc.fill_null(at, 0)).astype(np.int64)
+        place[missing] = len(self.keys) + np.arange(len(new))
+        values = pa.concat_arrays([self.values, made]).take(pa.array(place))
+        short = pc.less_equal(pc.utf8_length(distinct), CACHE_CHARS)
+        unused = np.ones(len(self.keys), bool)
+        unused[place[~missing]] = False
+        old = pa.array(np.flatnonzero(unused)[: max(0, entries - len(distinct))])
+        self.keys = pa.concat_arrays([distinct.filter(short), self.keys.take(old)])
+        self.values = pa.concat_arrays([values.filter(short), self.values.take(old)])
+        return values.take(every.indices)
 
     def ids(self, texts: pa.Array | list[str | None], entries: int = CACHE_ENTRIES) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit integers.
@@ -198,27 +180,32 @@ class PieceEncoder:
         pieces = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
         at, names = np.asarray(pieces.indices).astype(np.int64), pieces.dictionary
-        keys, rows = names.to_pylist(), len(column)
-        slow: dict[int, list[bytes]] = {}
+        rows = len(column)
+        slow: dict[int, list[str]] = {}
         if not self.words:
             # after a piece that is empty or ends in white space the next cut isn't safe; such texts are cut one by one
             ending = pc.is_in(pc.utf8_slice_codeunits(names, -1), pa.array([*_SPACES, ""], pa.large_string()))
             odd = np.asarray(pc.or_(ending, pc.match_substring(names, _BARE)))
             if odd.any():
                 for i in np.unique(np.repeat(np.arange(rows), np.diff(bounds))[odd[at]]).tolist():
-                    slow[i] = self._known(byte_level_keys(column[i].as_py()), entries)
+                    slow[i] = byte_level_keys(text) if (text := column[i].as_py()) else []
             # the first piece of a text has no space before it
-            first = [keys[i] for i in at[bounds[:-1]].tolist()]
-            bare = [w if w[:1] == "\n" else _BARE + w for w in first]
-            at[bounds[:-1]] = len(keys) + np.arange(rows)
-            keys += bare
-        joined = pa.array(self._known(keys, entries), pa.large_binary()).take(pa.array(at))
+            first = names.take(pa.array(at[bounds[:-1]]))
+            bare = pc.if_else(pc.starts_with(first, "\n"), first, pc.binary_join_element_wise(pa.scalar(_BARE, pa.large_string()), first, pa.scalar("", pa.large_string())))
+            at[bounds[:-1]] = len(names) + np.arange(rows)
+            names = pa.concat_arrays([names, bare])
+        after = len(names)
+        if slow:
+            names = pa.concat_arrays([names, pa.array([k for ks in slow.values() for k in ks], pa.large_string())])
+        known = self._known(names, entries)
+        joined = known.take(pa.array(at))
         _, ends, data = joined.buffers()
         ends_of = np.frombuffer(ends, np.int64, len(at) + 1, 8 * joined.offset)[bounds].tolist()
         view = memoryview(data) if data is not None else memoryview(b"")
         out = [bytes(view[i:j]) for i, j in zip(ends_of, ends_of[1:], strict=False)]
-        for i, known in slow.items():
-            out[i] = b"".join(known)
-        del column, lists, pieces, names, joined, ends, data, view
+        for i, ks in slow.items():
+            out[i] = b"".join(known.slice(after, len(ks)).to_pylist())
+            after += len(ks)
+        del column, lists, pieces, names, known, joined, ends, data, view
         pa.default_memory_pool().release_unused()
         return out
