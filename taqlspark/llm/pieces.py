@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that are kept, the latest used first; bounds a worker's memory (about 50 bytes each).
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 #: Texts in an Arrow batch: the more, the more often a piece is met twice in it and looked up once.
-ENCODED_ROWS = 2048
+ENCODED_ROWS = 1024
 #: Pieces longer than this are encoded without being kept.
 CACHE_CHARS = 64
 
