@@ -45,8 +45,8 @@ def byte_level_keys(text: str) -> list[str]:
     return [p[1:] if p[0] == " " and len(p) > 1 and p[1] != "\n" else p if p[0] == "\n" else _BARE + p for p in out if p]
 
 
-#: What a key begins with, plain letters (one pre-token), and marks (another).
-_SIMPLE = "^(?P<lead>[\\x00\n]?)(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<marks>[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)$"
+#: What a key begins with, plain letters (one pre-token), and marks (another). U+0130 is no plain letter: in lower case it has a mark.
+_SIMPLE = "^(?P<lead>[\\x00\n]?)(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)$"
 
 
 class PieceEncoder:
