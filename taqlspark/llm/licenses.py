@@ -1,10 +1,12 @@
 """Licence scan: Dice coefficient over word bigrams between normalised text and licence templates.
 
-A text is compared by units: each line, each paragraph (lines between blank ones) and the whole text.
-A unit of m bigrams and a template of n share at most min(m, n), so the coefficient 2 * shared /
-(m + n) can reach t only if t / (2 - t) <= m / n <= (2 - t) / t; other templates are pruned by size.
-Those left are counted through an index from bigrams to templates. The templates are a fixed, small
-list, so each task holds them.
+A text is compared by its runs of words, wherever they begin and end, so that a notice counts within
+a line as well as over several paragraphs of a long document; a template's coefficient is that of the
+best run. A run of m bigrams and a template of n share at most min(m, n), so the coefficient 2 * shared
+/ (m + n) can reach t only if t / (2 - t) <= m / n <= (2 - t) / t. An index from bigrams to templates
+finds the places where a template's bigrams stand; the best run begins and ends at such places, and
+templates and places without enough of them near by are pruned. The templates are a fixed, small list,
+so each task holds them.
 """
 
 import re
@@ -12,13 +14,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import batches_of
 
-#: Coefficient from which a unit is a template's text.
+#: Coefficient from which a run is a template's text.
 DICE = 0.8
 
 _AS_IS = (
@@ -116,39 +119,61 @@ class Index:
     names: list[str]
     sizes: list[int]
     grams: dict[tuple[str, str], list[tuple[int, int]]]
-    low: int
-    high: int
+    #: Templates of one word, which only a unit of that word is text of.
+    single: dict[str, list[int]]
 
     @classmethod
-    def of(cls, templates: tuple[tuple[str, str], ...], least: float) -> "Index":
+    def of(cls, templates: tuple[tuple[str, str], ...]) -> "Index":
         grams: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        single: dict[str, list[int]] = {}
         sizes = []
         for i, (_, text) in enumerate(templates):
             own = Counter(bigrams(text))
             sizes.append(sum(own.values()))
             for g, n in own.items():
-                grams.setdefault(g, []).append((i, n))
-        ratio = least / (2 - least)
-        used = [s for s in sizes if s]
-        return cls([n for n, _ in templates], sizes, grams, int(min(used, default=0) * ratio), int(max(used, default=0) / ratio) + 1)
+                if g[1]:
+                    grams.setdefault(g, []).append((i, n))
+                else:
+                    single.setdefault(g[0], []).append(i)
+        return cls([n for n, _ in templates], sizes, grams, single)
 
     def matches(self, text: str, least: float) -> list[tuple[float, int]]:
-        """(coefficient, template) of the templates that the unit is text of."""
+        """(coefficient, template) of the templates that a run of the text's words is text of."""
+        found = [(1.0, i) for u in units(text) if len(w := _WORD.findall(u.lower())) == 1 for i in self.single.get(w[0], ())] if self.single else []
         words = _WORD.findall(text.lower())
-        m = max(len(words) - 1, 1) if words else 0
-        if not self.low <= m <= self.high or not m:
-            return []
-        own = zip(words, words[1:], strict=False) if len(words) > 1 else [(words[0], "")]
-        found = [g for g in own if g in self.grams]
-        if not found:
-            return []
-        ratio = least / (2 - least)
+        hits = [(p, g) for p, g in enumerate(zip(words, words[1:], strict=False)) if g in self.grams]
         shared: Counter[int] = Counter()
-        for g, n in Counter(found).items():
+        for g, n in Counter(g for _, g in hits).items():
             for i, k in self.grams[g]:
-                if ratio <= m / self.sizes[i] <= 1 / ratio:
-                    shared[i] += min(n, k)
-        return [(c, i) for i, s in shared.items() if (c := 2 * s / (m + self.sizes[i])) >= least]
+                shared[i] += min(n, k)
+        for i, s in shared.items():
+            n = self.sizes[i]
+            if 2 * s / (s + n) >= least and (best := self._best(i, hits, least)) >= least:
+                found.append((best, i))
+        return found
+
+    def _best(self, i: int, hits: list[tuple[int, tuple[str, str]]], least: float) -> float:
+        """The largest coefficient of template i and a run, if it is ``least`` or more; hits: places of indexed bigrams."""
+        n = self.sizes[i]
+        own = [(p, g, k) for p, g in hits for j, k in self.grams[g] if j == i]
+        places = np.array([p for p, _, _ in own])
+        ends = np.searchsorted(places, places + int(2 * n / least - n + 1e-9))
+        most = np.minimum(ends - np.arange(len(own)), n)
+        bounds = 2 * most / (most + n)
+        best = 0.0
+        for a in np.flatnonzero(bounds >= least).tolist():
+            if bounds[a] <= best:
+                continue
+            begin, s, used = own[a][0], 0, {}
+            for p, g, k in own[a : ends[a]]:
+                c = used.get(g, 0)
+                if c < k:
+                    used[g] = c + 1
+                    s += 1
+                    best = max(best, 2 * s / (p - begin + 1 + n))
+            if best == 1.0:
+                break
+        return best
 
 
 _BLANK = re.compile(r"\n[ \t\r]*\n")
@@ -174,7 +199,7 @@ def scan(
 ) -> DataFrame:
     """(id, license, dice, licenses): one row per document, without a shuffle.
 
-    license and dice are of the best match (ties: the template listed first), null without one; licenses
+    A document matches a template if a run of its words does. license and dice are of the best match (ties: the template listed first), null without one; licenses
     has all matching licences, sorted and joined by commas, empty without one. A null or empty text
     matches nothing. Repeated rows and null ids each give a row. Other columns are not read.
     """
@@ -183,11 +208,11 @@ def scan(
     batches_of(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index.of(templates, least)
+        index = Index.of(templates)
         for b in batches:
             best, dice, every = [], [], []
             for t in b.column(1).to_pylist():
-                found = [x for u in units(t) for x in index.matches(u, least)] if t else []
+                found = index.matches(t, least) if t else []
                 top = min(found, key=lambda x: (-x[0], x[1]), default=None)
                 best.append(index.names[top[1]] if top else None)
                 dice.append(top[0] if top else None)
