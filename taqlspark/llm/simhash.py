@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import batches_of, stage
+from . import similar
 from .components import components
 
 #: Shingle length in words, and the differing bits up to which fingerprints link.
@@ -136,23 +137,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one document of each group: the one with the smallest id (then the smallest text hash).
+    """Keep one document of each group of similar texts (``similar.groups``: five words, 0.8 or more).
 
-    Returns the columns of ``docs``. Documents without an id are kept only where no member of their
-    group has one. Of fully repeated rows one stays.
+    The one with the smallest id stays (then the smallest text hash). Returns the columns of ``docs``.
+    Documents without an id are kept only where no member of their group has one. Of fully repeated
+    rows one stays. Ids only choose which member stays: different groups may hold the same id.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = similar.groups(docs, id_col, text_col)
     order = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
-    group = F.coalesce(F.col("component_id"), F.col("fp"))
-    keep = (
-        found.groupBy(F.col("component_id").isNull().alias("none"), group.alias("g"))
-        .agg(F.min(order).alias("k"))
-        .select(F.col("k.id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash"))
-    )
+    keep = found.groupBy("group").agg(F.min(order).alias("k"))
+    marked = found.groupBy("group", "id", "text_hash").agg(F.count(F.lit(1)).alias("c")).join(keep, "group")
+    kept = F.col("k.id").eqNullSafe(F.col("id")) & (F.col("k.text_hash") == F.col("text_hash"))
+    copies = marked.select(F.col("id").alias("_copy_id"), F.col("text_hash").alias("_copy_hash"), kept.alias("_kept"), "c")
+    copies = stage(copies.where("c > 1 or not _kept").drop("c"), "copies", compact=True)
     own = docs.withColumn("_own_hash", F.xxhash64(F.col(text_col)))
-    kept = own.join(
-        keep,
-        F.col("_keep_hash").eqNullSafe(own["_own_hash"]) & F.col("_keep_id").eqNullSafe(own[id_col].cast("long")),
-        "left_semi",
-    )
-    return kept.dropDuplicates(["_own_hash", id_col]).drop("_own_hash")
+    same = (F.col("_copy_hash") == F.col("_own_hash")) & F.col("_copy_id").eqNullSafe(own[id_col].cast("long"))
+    repeated = own.join(copies.where("_kept"), same, "left_semi").dropDuplicates(["_own_hash", id_col])
+    return own.join(copies, same, "left_anti").unionByName(repeated).drop("_own_hash")
