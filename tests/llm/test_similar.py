@@ -6,7 +6,7 @@ import pytest
 from conftest import DATA
 
 import corpus_pipeline
-from taqlspark.llm import similar
+from taqlspark.llm import similar, simhash
 
 
 def plain_groups(texts, words=5, least=(4, 5)):
@@ -64,3 +64,11 @@ def test_pipeline_near_duplicates(spark):
         want.setdefault(g, i)
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()]
     assert sorted(got) == sorted(want.values())
+
+
+def test_deduplicate_repeated_and_null_ids(spark):
+    """Groups are told apart by what they hold, not by ids."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one), (2, one + " z"), (1, two), (3, two), (None, "c " * 30 + one[:99]), (None, "c " * 30 + one[:99] + " y")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "c"), (1, "a"), (1, "b")]
