@@ -36,6 +36,10 @@ def stage_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/taqlspark/{tag}-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a plan once its result is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -44,8 +48,23 @@ def stage(df: DataFrame, tag: str, compact: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = stage_path(spark, tag)
-    (df.hint("rebalance") if compact else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.hint("rebalance") if compact else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(staged: DataFrame | None) -> None:
+    """Remove the files of a table made by ``stage`` that nothing will read again; others are left alone."""
+    path = getattr(staged, "_staged", None)
+    if path is not None:
+        hadoop = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def ship(spark: SparkSession) -> None:
