@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 
 
 def _mark(edges: DataFrame) -> tuple[int, int, int]:
@@ -53,7 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .distinct()
         )
-        e = stage(small, "small-star")
+        old, e = e, stage(small, "small-star")
+        for gone in (old, large):
+            discard(gone)
         after = _mark(e)
         if after == before:
             break

@@ -26,44 +26,22 @@ from pyspark.sql import functions as F
 from ..session import batches_of, stage
 from . import similar
 from .components import components
+from .shingles import hashes, majority
 
-#: Shingle length in words, and the differing bits up to which fingerprints link.
-WORDS, RADIUS = 3, 2
+#: The differing bits up to which fingerprints link.
+RADIUS = 2
 #: Reference fingerprints.
 PIVOTS = tuple(int.from_bytes(hashlib.blake2b(b"pivot-%d" % i, digest_size=8).digest(), "big", signed=True) for i in range(16))
 #: Fingerprints up to which a bucket is paired; larger ones take the way through neighbouring words.
 BUCKET = 128
 
-_BLOCK = 1 << 16
 
+def fingerprint(text: bytes | None, words: int = similar.WORDS) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text (``shingles.hashes``, repeats included); 0 without words."""
+    return majority(hashes(text, words))
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text; 0 for a null text or one without words.
 
-    Words are runs without ASCII white space, lower-cased in A-Z only. A text of fewer words than a
-    shingle counts as one shingle. Repeated shingles count each time.
-    """
-    import xxhash
-
-    parts = text.lower().split() if text else []
-    if not parts:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    line = b" ".join(parts)
-    if len(parts) <= words:
-        return digest(line, 42)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)[: len(parts) - words + 1].tolist()
-    stops = ends[words - 1 :].tolist()
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(starts), _BLOCK):
-        part = [digest(line[i:j], 42) for i, j in zip(starts[k : k + _BLOCK], stops[k : k + _BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(part, dtype=">u8").view(np.uint8)).reshape(-1, 64)
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = similar.WORDS) -> DataFrame:
     """(id, fp long, text_hash long) for each row; fp holds the fingerprint's bits."""
     batches_of(docs.sparkSession)
 
@@ -116,41 +94,82 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(through).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per input row: (id, fp, text_hash, component_id).
-
-    component_id is the smallest id reachable through fingerprints within two bits, the row's own
-    included. Null texts and texts without words have fingerprint zero and link like any other. Rows
-    with a null id take part and get their component's smallest id, which is null if no member has
-    one. Repeated rows stay. Other columns are not looked at.
-    """
-    prints = stage(fingerprints(docs, id_col, text_col, words), "fingerprints", compact=True)
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
-    distinct = stage(distinct, "distinct-fingerprints")
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+def _labels(distinct: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest first_id of each component of ``distinct`` (node, first_id), staged."""
+    roots = components(links)
+    rooted = distinct.join(roots, distinct[node] == roots["node"], "left").select(
+        distinct[node], "first_id", F.coalesce("root", distinct[node]).alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = stage(rooted.join(smallest, "root").select("fp", "component_id"), "fingerprint-labels")
-    return prints.join(labels, "fp").select("id", "fp", "text_hash", "component_id")
+    return stage(rooted.join(smallest, "root").select(node, "component_id"), "labels")
+
+
+def _meetings(prints: DataFrame) -> DataFrame:
+    """Pairs of keys (u, v) whose fingerprints link; prints: (key, fp)."""
+    distinct = stage(prints.groupBy("fp").agg(F.min("key").alias("u")), "distinct-fingerprints", compact=True)
+    same = prints.join(distinct, "fp").select(F.col("u"), F.col("key").alias("v"))
+    edges = links(distinct.select("fp"))
+    first, second = (distinct.select(F.col("fp").alias(k), F.col("u").alias(f"key_{k}")) for k in "uv")
+    linked = edges.join(first, "u").join(second, "v").select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
+    return same.where("u <> v").distinct().unionByName(linked)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = similar.WORDS,
+    least: tuple[int, int] | None = similar.LEAST,
+) -> DataFrame:
+    """One row per input row: (id, fp, text_hash, component_id).
 
+    least: texts link if the Jaccard coefficient of their shingle sets is that fraction or more.
+    Fingerprints within two bits meet first, and their texts are compared; since similar texts often
+    differ in more bits, ``similar`` then finds all links that are left, so none is lost. None: texts
+    link if their fingerprints are within two bits, and nothing else counts.
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one document of each group of similar texts (``similar.groups``: five words, 0.8 or more).
+    component_id is the smallest id reachable through links, the row's own included. Null texts and
+    texts without words have fingerprint zero and link with one another (with ``least`` None like any
+    other fingerprint). Rows with a null id take part and get their component's smallest id, which is
+    null if no member has one. Repeated rows stay. Other columns are not looked at.
+    """
+    if least is None:
+        prints = stage(fingerprints(docs, id_col, text_col, words), "fingerprints", compact=True)
+        distinct = stage(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
+        labels = _labels(distinct, "fp", links(distinct.select("fp")))
+        return prints.join(labels, "fp").select("id", "fp", "text_hash", "component_id")
+    found = similar.groups(docs, id_col, text_col, words, least, _meetings)
+    sets = found.groupBy("key", "group").agg(F.min("id").alias("i"))
+    smallest = sets.groupBy("group").agg(F.min("i").alias("component_id"))
+    labels = stage(sets.join(smallest, "group").select("key", "component_id"), "labels", compact=True)
+    return found.join(labels, "key").select("id", "fp", "text_hash", "component_id")
+
+
+def deduplicate(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = similar.WORDS,
+    least: tuple[int, int] = similar.LEAST,
+) -> DataFrame:
+    """Keep one document of each group of ``near_duplicates``.
 
     The one with the smallest id stays (then the smallest text hash). Returns the columns of ``docs``.
     Documents without an id are kept only where no member of their group has one. Of fully repeated
     rows one stays. Ids only choose which member stays: different groups may hold the same id.
     """
-    found = similar.groups(docs, id_col, text_col)
+    found = similar.groups(docs, id_col, text_col, words, least, _meetings)
     order = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
-    keep = found.groupBy("group").agg(F.min(order).alias("k"))
-    marked = found.groupBy("group", "id", "text_hash").agg(F.count(F.lit(1)).alias("c")).join(keep, "group")
-    kept = F.col("k.id").eqNullSafe(F.col("id")) & (F.col("k.text_hash") == F.col("text_hash"))
-    copies = marked.select(F.col("id").alias("_copy_id"), F.col("text_hash").alias("_copy_hash"), kept.alias("_kept"), "c")
-    copies = stage(copies.where("c > 1 or not _kept").drop("c"), "copies", compact=True)
+    sets = found.groupBy("key", "group").agg(F.min(order).alias("k"))
+    best = sets.groupBy("group").agg(F.min("k").alias("k"))
+    best = stage(sets.select("key", "group").join(best, "group").select("key", F.col("k.id").alias("best"), F.col("k.text_hash").alias("hash")), "best-of-groups", compact=True)
+    kept = F.col("best").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash"))
+    marked = found.join(best, "key").select(F.col("id").alias("_copy_id"), F.col("text_hash").alias("_copy_hash"), kept.alias("_kept"))
+    # staged by rows, so that a group's rows need not meet in one task; equal rows are joined before they move
+    marked = stage(marked, "marked", compact=True)
+    copies = marked.groupBy("_copy_id", "_copy_hash", "_kept").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or not _kept")
+    copies = stage(copies.drop("c"), "copies", compact=True)
     own = docs.withColumn("_own_hash", F.xxhash64(F.col(text_col)))
     same = (F.col("_copy_hash") == F.col("_own_hash")) & F.col("_copy_id").eqNullSafe(own[id_col].cast("long"))
-    repeated = own.join(copies.where("_kept"), same, "left_semi").dropDuplicates(["_own_hash", id_col])
-    return own.join(copies, same, "left_anti").unionByName(repeated).drop("_own_hash")
+    repeated = similar.by_keys(own, stage(copies.where("_kept"), "repeated", compact=True), same, "left_semi").dropDuplicates(["_own_hash", id_col])
+    return similar.by_keys(own, copies, same, "left_anti").unionByName(repeated).drop("_own_hash")

@@ -1,53 +1,46 @@
-"""Near copies by exact similarity: the Jaccard coefficient of two texts' sets of word shingles.
+"""Exact similarity of texts: the Jaccard coefficient of their sets of word shingles.
 
 Two sets of a and b shingles with a coefficient of t or more share at least t * max(a, b) of them. So
 whatever the order of all shingles, the first n - ceil(t * n) + 1 of each set (its prefix) have one in
 common: pairs that meet in no prefix can't be similar, and no similar pair is lost. The order puts
 shingles that a sample of the texts holds often last, so that prefixes hold rare ones; the sample
-changes the work, never the result. Pairs that meet are discarded where the shingles still to come
-can't suffice, and the rest is compared by whole sets.
-
-Work is in proportion to the texts, apart from families of different texts that are all similar to
-one another: those meet in all pairs.
+changes the work, never the result.
+
+Texts that share a prefix shingle form a bucket, and buckets are never paired within themselves. A
+round compares the members of each bucket with a few leaders; those that are similar are linked, and
+the leaders, who have met everyone, leave. Pairs that links join already are never compared again, so
+a family of copies, however large, costs about one comparison a member. Rounds go on with twice the
+leaders until what is left, counted beforehand, is in proportion to the members: then all pairs that
+no link joins are compared. Every pair with its first common shingle in a bucket is thus compared or
+joined, and the groups are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import batches_of, stage
+from ..session import batches_of, discard, stage
 from .components import components
+from .shingles import hashes, majority
 
 #: Shingle length in words, and the least coefficient as a fraction.
 WORDS, LEAST = 5, (4, 5)
-#: About how many texts are sampled for the order of shingles, and how many shingles it lists at most.
-SAMPLED, LISTED = 4_096, 200_000
+#: About how many texts are sampled for the order of shingles, and how many shingles it lists at most (16 bytes each are broadcast).
+SAMPLED, LISTED = 16_384, 400_000
+#: All pairs that are left are compared once there are at most so many a member.
+LEFT = 16
+#: Keys up to which the smaller side of a semi or anti join is sent to all tasks; beyond that both sides are shuffled.
+SENT = 1_000_000
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """The set of a UTF-8 text's shingles as sorted 64-bit hashes; words as in ``simhash.fingerprint``.
-
-    A text of fewer words than a shingle has one; a null text or one without words has none.
-    """
-    import xxhash
-
-    parts = text.lower().split() if text else []
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    digest = xxhash.xxh64_intdigest
-    line = b" ".join(parts)
-    if len(parts) <= words:
-        return np.array([digest(line, 42)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)[: len(parts) - words + 1].tolist()
-    stops = ends[words - 1 :].tolist()
-    hashed = (digest(line[i:j], 42) for i, j in zip(starts, stops, strict=True))
-    return np.unique(np.fromiter(hashed, dtype=np.uint64, count=len(starts)))
+    """The set of a UTF-8 text's shingles as sorted 64-bit hashes (``shingles.hashes``); empty without words."""
+    return np.unique(hashes(text, words))
 
 
 def _key(own: np.ndarray) -> int:
@@ -73,10 +66,9 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     drawn = texts.select("t").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
     often = drawn.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    rows = often.orderBy(F.desc("n"), "s").limit(LISTED).collect()
-    listed = np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64)
+    listed = often.orderBy(F.desc("n"), "s").limit(LISTED).select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(listed)
-    return listed[order], (len(rows) - np.arange(len(rows)))[order]
+    return listed[order], (len(listed) - np.arange(len(listed)))[order]
 
 
 def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray, least: tuple[int, int]) -> np.ndarray:
@@ -91,70 +83,171 @@ def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray, least: tuple[
     return own[np.lexsort((own, place))[:first]]
 
 
+def by_keys(rows: DataFrame, keys: DataFrame, on: str | F.Column, how: str) -> DataFrame:
+    """A semi or anti join with a staged table of keys, which is sent to all tasks only while it is small."""
+    return rows.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
+
+
+class _Texts:
+    """Texts of one call: their sets, prefixes and verified links.
+
+    rows: one row per input row (id, text_hash, fp, key, n, firsts); once: one per different set.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int]) -> None:
+        if not 0 < least[0] <= least[1]:
+            raise ValueError("the coefficient lies above 0 and up to 1")
+        self.words, (self.num, self.den) = words, least
+        spark = docs.sparkSession
+        batches_of(spark)
+        self.texts = docs.select(
+            F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("t")
+        )
+        sent = spark.sparkContext.broadcast(_common(self.texts, words))
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common, ranks = sent.value
+            for b in batches:
+                found = [hashes(t.as_py(), words) for t in b.column(2)]
+                prints = pa.array(np.array([majority(h) for h in found], dtype=np.uint64).view(np.int64))
+                sets = [np.unique(h) for h in found]
+                keys, sizes = pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
+                firsts = _lists([prefix(s, common, ranks, least) for s in sets])
+                yield pa.record_batch(
+                    [b.column(0), b.column(1), prints, keys, sizes, firsts], names=["id", "text_hash", "fp", "key", "n", "firsts"]
+                )
+
+        schema = "id long, text_hash long, fp long, key long, n int, firsts array<long>"
+        self.rows = stage(self.texts.mapInArrow(prefixes, schema), "shingle-prefixes")
+        first = self.rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "text_hash", "fp", "firsts")])
+        self.once = stage(first, "different-sets")
+        self.sets: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def fits(self, n_u: F.Column, p_u: F.Column, n_v: F.Column, p_v: F.Column) -> F.Column:
+        """Whether two sets of n shingles, the first common one at p (from 0) in each, may be similar."""
+        n_u, n_v = n_u.cast("long"), n_v.cast("long")
+        rest = F.least(n_u - p_u, n_v - p_v)
+        return (F.least(n_u, n_v) * self.den >= F.greatest(n_u, n_v) * self.num) & (rest * (self.num + self.den) >= (n_u + n_v) * self.num)
+
+    def _similar(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v: keys) that are similar, compared by prefixes and then by whole sets."""
+        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "met-pairs", compact=True)
+        num, den = self.num, self.den
+        ends = stage(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "met-keys", compact=True)
+        short = stage(by_keys(self.once, ends, "key", "left_semi"), "met-prefixes", compact=True)
+        left, right = (short.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("firsts").alias(f"f{k}")) for k in "uv")
+        total = F.col("nu").cast("long") + F.col("nv")
+        # behind the end of one of the two prefixes there are at most that set's other shingles
+        behind = F.floor(F.greatest("nu", "nv").cast("long") * num / F.lit(den)) + 1
+        shared = F.size(F.array_intersect("fu", "fv")).cast("long")
+        near = pairs.join(left, "u").join(right, "v").where((shared + behind) * (num + den) >= total * num).select("u", "v")
+        near = stage(near, "near-pairs", compact=True)
+        self._extend(near)
+        left, right = (self.sets.select(F.col("key").alias(k), F.col("whole").alias(f"w{k}")) for k in "uv")
+        total = F.size("wu").cast("long") + F.size("wv")
+        shared = F.size(F.array_intersect("wu", "wv")).cast("long")
+        found = stage(near.join(left, "u").join(right, "v").where(shared * (num + den) >= total * num).select("u", "v"), "links", compact=True)
+        for gone in (pairs, ends, short, near):
+            discard(gone)
+        return found
+
+    def _extend(self, near: DataFrame) -> None:
+        """Sets of all texts in ``near`` that aren't held yet."""
+        words = self.words
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [shingles(t.as_py(), words) for t in b.column(0)]
+                yield pa.record_batch([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], names=["key", "whole"])
+
+        ends = near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct()
+        if self.sets is not None:
+            ends = ends.join(self.sets.select("key"), "key", "left_anti")
+        named = self.once.select("key", "text_hash").join(ends, "key", "left_semi").select("text_hash").distinct()
+        named = stage(named, "near-texts", compact=True)
+        chosen = by_keys(self.texts.select("text_hash", "t"), named, "text_hash", "left_semi").dropDuplicates(["text_hash"])
+        added = stage(chosen.select("t").mapInArrow(whole, "key long, whole array<long>"), "near-sets")
+        self.sets = added if self.sets is None else self.sets.unionByName(added)
+        discard(named)
+
+    def link(self, pairs: DataFrame) -> None:
+        """Join the groups of those pairs that are similar."""
+        links = self._similar(pairs)
+        if self.roots is not None:
+            links = links.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
+        self.roots = components(links)
+
+    def _grouped(self, rows: DataFrame) -> DataFrame:
+        """Rows with the present group (g) of their key."""
+        if self.roots is None:
+            return rows.withColumn("g", F.col("key"))
+        roots = self.roots.withColumnRenamed("node", "key")
+        return rows.join(roots, "key", "left").withColumn("g", F.coalesce("root", "key")).drop("root")
+
+    def _active(self, members: DataFrame) -> DataFrame:
+        """Members (s, key, n, p, g) of buckets that hold more than one group."""
+        members = members.select("s", "key", "n", "p", "g")
+        buckets = members.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("s")
+        return stage(members.join(buckets, "s"), "buckets")
+
+    def complete(self) -> None:
+        """Link all similar pairs that are not joined yet."""
+        members = self._grouped(self.once.select("key", "n", "firsts"))
+        active, leaders = self._active(members.select("key", "n", "g", F.posexplode("firsts").alias("p", "s"))), 1
+        while True:
+            other = active.select("s", *[F.col(c).alias(f"{c}v") for c in ("key", "n", "p", "g")])
+            meet = (F.col("g") != F.col("gv")) & self.fits(F.col("n"), F.col("p"), F.col("nv"), F.col("pv"))
+            pairs = [F.col("key").alias("u"), F.col("keyv").alias("v")]
+            sizes = active.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.max(F.struct("c", "g")).alias("most"))
+            sizes = sizes.select("s", "c", F.col("most.g").alias("most"), (F.col("c") * (F.col("c") - F.col("most.c"))).cast("double").alias("left"))
+            sizes = stage(sizes, "bucket-sizes", compact=True)
+            members_left, pairs_left = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0.0))).first()
+            if not members_left:
+                return
+            if leaders > 1 and pairs_left <= LEFT * members_left:  # a bucket's largest group never meets itself
+                few = active.join(sizes.select("s", "most"), "s").where("g <> most").drop("most")
+                self.link(few.join(other, "s").where(meet).select(*pairs))
+                return
+            slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
+            chosen = active.groupBy("s", slot.alias("slot")).agg(F.min("key").alias("keyv")).select("s", "keyv")
+            chosen = stage(chosen, "leaders", compact=True)
+            self.link(active.join(other.join(chosen, ["s", "keyv"], "left_semi"), "s").where(meet).select(*pairs))
+            gone = chosen.withColumnRenamed("keyv", "key")
+            before, active = active, self._active(self._grouped(active.drop("g").join(gone, ["s", "key"], "left_anti")))
+            for old in (before, sizes, chosen):
+                discard(old)
+            leaders *= 2
+
+    def groups(self) -> DataFrame:
+        """(id, text_hash, fp, key, group) of each input row."""
+        for gone in (self.once, self.sets):
+            discard(gone)
+        rows = self.rows.select("id", "text_hash", "fp", "key")
+        if self.roots is None:
+            return rows.withColumn("group", F.col("key"))
+        roots = self.roots.withColumnRenamed("node", "key")
+        return rows.join(roots, "key", "left").select("id", "text_hash", "fp", "key", F.coalesce("root", "key").alias("group"))
+
+
 def groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = WORDS,
+    least: tuple[int, int] = LEAST,
+    first: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per input row: (id, text_hash, group). Texts whose coefficient is ``least`` or more are linked.
+    """One row per input row: (id, text_hash, fp, key, group). Texts whose coefficient is ``least`` or more are linked.
 
-    Rows are in one group exactly if links lead from one to the other. Texts without words, nulls
-    included, are equal. Ids are only passed on: null and repeated ones change no group. Shingles and
-    sets are named by 64-bit hashes.
+    Rows are in one group exactly if links lead from one to the other. fp is the SimHash of the text's
+    shingles, key names its set of them. Texts without words, nulls included, are equal. Ids are only
+    passed on: null and repeated ones change no group. Shingles and sets are named by 64-bit hashes.
+    first: from a staged table (key, fp) of the different sets, pairs of keys (u, v) to compare before
+    all others; they change the work, not the result.
     """
-    if not 0 < least[0] <= least[1]:
-        raise ValueError("the coefficient lies above 0 and up to 1")
-    num, den = least
-    spark = docs.sparkSession
-    batches_of(spark)
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("binary").alias("t")
-    )
-    sent = spark.sparkContext.broadcast(_common(texts, words))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, ranks = sent.value
-        for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column(2)]
-            keys, sizes = pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())
-            firsts = _lists([prefix(s, common, ranks, least) for s in sets])
-            yield pa.record_batch([b.column(0), b.column(1), keys, sizes, firsts], names=["id", "text_hash", "key", "n", "firsts"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column(0)]
-            yield pa.record_batch([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], names=["key", "whole"])
-
-    rows = stage(texts.mapInArrow(prefixes, "id long, text_hash long, key long, n int, firsts array<long>"), "shingle-prefixes")
-    # staged lists are sent to the tasks by Spark's own size check while they are small, so that only what is in them moves
-    again = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "repeated-sets", compact=True)
-    once = rows.join(again, "key", "left_anti").unionByName(rows.join(again, "key", "left_semi").dropDuplicates(["key"]))
-    firsts = once.select("key", "n", F.posexplode("firsts").alias("p", "s"))
-    firsts = firsts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("c > 1").drop("c")
-    firsts = stage(firsts, "shared-shingles")
-    a = firsts.select("s", F.col("key").alias("u"), F.col("n").alias("nu"), F.col("p").alias("pu"))
-    b = firsts.select("s", F.col("key").alias("v"), F.col("n").alias("nv"), F.col("p").alias("pv"))
-    n_u, n_v = F.col("nu").cast("long"), F.col("nv").cast("long")
-    smaller = (F.col("nu") < F.col("nv")) | ((F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
-    to_come = F.least("pu", "pv") + F.least(n_u - F.col("pu"), n_v - F.col("pv"))
-    met = a.join(b, (a["s"] == b["s"]) & smaller & (n_u * den >= n_v * num) & (to_come * (num + den) >= (n_u + n_v) * num))
-    # all shared shingles up to the end of one prefix have been met; behind it there are at most those of the larger set's rest
-    behind = F.floor(n_v * num / F.lit(den)) + 1
-    near = (
-        met.groupBy("u", "v", "nu", "nv")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where((F.col("c") + behind) * (num + den) >= (n_u + n_v) * num)
-        .select("u", "v")
-    )
-    near = stage(near, "near-pairs", compact=True)
-
-    ends = near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct()
-    named = rows.groupBy("key").agg(F.min("text_hash").alias("text_hash")).join(ends, "key", "left_semi").select("text_hash")
-    named = stage(named.distinct(), "near-texts", compact=True)
-    chosen = texts.select("text_hash", "t").join(named, "text_hash", "left_semi").dropDuplicates(["text_hash"])
-    sets = stage(chosen.select("t").mapInArrow(whole, "key long, whole array<long>"), "near-sets")
-    left = sets.select(F.col("key").alias("u"), F.col("whole").alias("wu"))
-    right = sets.select(F.col("key").alias("v"), F.col("whole").alias("wv"))
-    shared = F.size(F.array_intersect("wu", "wv")).cast("long")
-    total = F.size("wu").cast("long") + F.size("wv")
-    links = near.join(left, "u").join(right, "v").where(shared * (num + den) >= total * num).select("u", "v")
-    roots = components(links)
-    return rows.join(roots, rows["key"] == roots["node"], "left").select("id", "text_hash", F.coalesce("root", "key").alias("group"))
+    found = _Texts(docs, id_col, text_col, words, least)
+    if first is not None:
+        found.link(first(found.once.select("key", "fp")))
+    found.complete()
+    return found.groups()
