@@ -33,7 +33,7 @@ WORDS, LEAST = 5, (4, 5)
 #: About how many texts are sampled for the order of shingles, and how many shingles it lists at most (16 bytes each are broadcast).
 SAMPLED, LISTED = 16_384, 400_000
 #: All pairs that are left are compared once there are at most so many a member.
-LEFT = 16
+LEFT = 128
 #: Keys up to which the smaller side of a semi or anti join is sent to all tasks; beyond that both sides are shuffled.
 SENT = 1_000_000
 
@@ -180,8 +180,6 @@ class _Texts:
 
     def _grouped(self, rows: DataFrame) -> DataFrame:
         """Rows with the present group (g) of their key."""
-        if self.roots is None:
-            return rows.withColumn("g", F.col("key"))
         roots = self.roots.withColumnRenamed("node", "key")
         return rows.join(roots, "key", "left").withColumn("g", F.coalesce("root", "key")).drop("root")
 
@@ -191,10 +189,10 @@ class _Texts:
         buckets = members.groupBy("s").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("s")
         return stage(members.join(buckets, "s"), "buckets")
 
-    def complete(self) -> None:
-        """Link all similar pairs that are not joined yet."""
-        members = self._grouped(self.once.select("key", "n", "firsts"))
-        active, leaders = self._active(members.select("key", "n", "g", F.posexplode("firsts").alias("p", "s"))), 1
+    def complete(self, first: DataFrame | None) -> None:
+        """Link all similar pairs; those in ``first`` (u, v) are compared along with the first leaders."""
+        members = self.once.select("key", "n", F.col("key").alias("g"), F.posexplode("firsts").alias("p", "s"))
+        active, leaders = self._active(members), 1
         while True:
             other = active.select("s", *[F.col(c).alias(f"{c}v") for c in ("key", "n", "p", "g")])
             meet = (F.col("g") != F.col("gv")) & self.fits(F.col("n"), F.col("p"), F.col("nv"), F.col("pv"))
@@ -212,7 +210,9 @@ class _Texts:
             slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
             chosen = active.groupBy("s", slot.alias("slot")).agg(F.min("key").alias("keyv")).select("s", "keyv")
             chosen = stage(chosen, "leaders", compact=True)
-            self.link(active.join(other.join(chosen, ["s", "keyv"], "left_semi"), "s").where(meet).select(*pairs))
+            met = active.join(other.join(chosen, ["s", "keyv"], "left_semi"), "s").where(meet).select(*pairs)
+            self.link(met if first is None else met.unionByName(first))
+            first = None
             gone = chosen.withColumnRenamed("keyv", "key")
             before, active = active, self._active(self._grouped(active.drop("g").join(gone, ["s", "key"], "left_anti")))
             for old in (before, sizes, chosen):
@@ -243,11 +243,9 @@ def groups(
     Rows are in one group exactly if links lead from one to the other. fp is the SimHash of the text's
     shingles, key names its set of them. Texts without words, nulls included, are equal. Ids are only
     passed on: null and repeated ones change no group. Shingles and sets are named by 64-bit hashes.
-    first: from a staged table (key, fp) of the different sets, pairs of keys (u, v) to compare before
-    all others; they change the work, not the result.
+    first: makes pairs of keys (u, v) that are compared early from a staged table (key, fp) of the
+    different sets; they change the work, not the result.
     """
     found = _Texts(docs, id_col, text_col, words, least)
-    if first is not None:
-        found.link(first(found.once.select("key", "fp")))
-    found.complete()
+    found.complete(None if first is None else first(found.once.select("key", "fp")))
     return found.groups()
