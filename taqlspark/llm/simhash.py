@@ -105,13 +105,12 @@ def _labels(distinct: DataFrame, node: str, links: DataFrame) -> DataFrame:
 
 
 def _meetings(prints: DataFrame) -> DataFrame:
-    """Pairs of keys (u, v) whose fingerprints link; prints: (key, fp)."""
-    distinct = stage(prints.groupBy("fp").agg(F.min("key").alias("u")), "distinct-fingerprints", compact=True)
-    same = prints.join(distinct, "fp").select(F.col("u"), F.col("key").alias("v"))
-    edges = links(distinct.select("fp"))
+    """Pairs of keys (u, v) to compare, from (key, fp): one of equal fingerprints, and those that link."""
+    distinct = stage(prints.groupBy("fp").agg(F.min("key").alias("u"), F.max("key").alias("v")), "distinct-fingerprints")
+    edges = stage(links(distinct.select("fp")), "fingerprint-links")
     first, second = (distinct.select(F.col("fp").alias(k), F.col("u").alias(f"key_{k}")) for k in "uv")
     linked = edges.join(first, "u").join(second, "v").select(F.col("key_u").alias("u"), F.col("key_v").alias("v"))
-    return same.where("u <> v").distinct().unionByName(linked)
+    return distinct.where("u <> v").select("u", "v").unionByName(linked)
 
 
 def near_duplicates(
@@ -141,7 +140,7 @@ def near_duplicates(
     found = similar.groups(docs, id_col, text_col, words, least, _meetings)
     sets = found.groupBy("key", "group").agg(F.min("id").alias("i"))
     smallest = sets.groupBy("group").agg(F.min("i").alias("component_id"))
-    labels = stage(sets.join(smallest, "group").select("key", "component_id"), "labels", compact=True)
+    labels = stage(sets.join(smallest, "group").select("key", "component_id"), "labels")
     return found.join(labels, "key").select("id", "fp", "text_hash", "component_id")
 
 
@@ -162,14 +161,13 @@ def deduplicate(
     order = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
     sets = found.groupBy("key", "group").agg(F.min(order).alias("k"))
     best = sets.groupBy("group").agg(F.min("k").alias("k"))
-    best = stage(sets.select("key", "group").join(best, "group").select("key", F.col("k.id").alias("best"), F.col("k.text_hash").alias("hash")), "best-of-groups", compact=True)
+    best = stage(sets.select("key", "group").join(best, "group").select("key", F.col("k.id").alias("best"), F.col("k.text_hash").alias("hash")), "best-of-groups")
     kept = F.col("best").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash"))
     marked = found.join(best, "key").select(F.col("id").alias("_copy_id"), F.col("text_hash").alias("_copy_hash"), kept.alias("_kept"))
-    # staged by rows, so that a group's rows need not meet in one task; equal rows are joined before they move
-    marked = stage(marked, "marked", compact=True)
+    marked = stage(marked, "marked")  # a plain join, so that a large group's rows are split over tasks
     copies = marked.groupBy("_copy_id", "_copy_hash", "_kept").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or not _kept")
-    copies = stage(copies.drop("c"), "copies", compact=True)
+    copies = stage(copies.drop("c"), "copies")
     own = docs.withColumn("_own_hash", F.xxhash64(F.col(text_col)))
     same = (F.col("_copy_hash") == F.col("_own_hash")) & F.col("_copy_id").eqNullSafe(own[id_col].cast("long"))
-    repeated = similar.by_keys(own, stage(copies.where("_kept"), "repeated", compact=True), same, "left_semi").dropDuplicates(["_own_hash", id_col])
+    repeated = similar.by_keys(own, stage(copies.where("_kept"), "repeated"), same, "left_semi").dropDuplicates(["_own_hash", id_col])
     return similar.by_keys(own, copies, same, "left_anti").unionByName(repeated).drop("_own_hash")

@@ -30,8 +30,10 @@ from .shingles import hashes, majority
 
 #: Shingle length in words, and the least coefficient as a fraction.
 WORDS, LEAST = 5, (4, 5)
-#: About how many texts are sampled for the order of shingles, and how many shingles it lists at most (16 bytes each are broadcast).
-SAMPLED, LISTED = 16_384, 400_000
+#: One of so many texts is sampled for the order of shingles, which lists so many of them at most (16 bytes each are broadcast).
+SHARE, LISTED = 4, 1_000_000
+#: Leaders of a bucket in the first round.
+LEADERS = 4
 #: All pairs that are left are compared once there are at most so many a member.
 LEFT = 128
 #: Keys up to which the smaller side of a semi or anti join is sent to all tasks; beyond that both sides are shuffled.
@@ -56,19 +58,30 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of ``texts`` (t binary) holds three times or more, sorted, and their ranks by number."""
-    share = min(1.0, SAMPLED / max(1, texts.count()))
+    """Shingles that a share of ``texts`` (t binary) holds three times or more, sorted, and their ranks by number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.concatenate([*(shingles(t.as_py(), words) for t in b.column(0)), np.zeros(0, np.uint64)])
             yield pa.record_batch([pa.array(found.view(np.int64))], names=["s"])
 
-    drawn = texts.select("t").where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = texts.select("t").where(F.pmod(F.xxhash64("t"), F.lit(SHARE)) == 0)
     often = drawn.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    listed = often.orderBy(F.desc("n"), "s").limit(LISTED).select("s").toArrow()["s"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(listed)
-    return listed[order], (len(listed) - np.arange(len(listed)))[order]
+    often = stage(often.withColumn("size", F.floor(F.log2("n") * 4).cast("int")), "frequent-shingles")
+    listed, least = 0, None
+    for size, count in sorted(((r[0], r[1]) for r in often.groupBy("size").count().collect()), reverse=True):
+        listed += count
+        if listed > LISTED:
+            break
+        least = size
+    chosen = (often.where(F.lit(False)) if least is None else often.where(F.col("size") >= least)).select("s", "n").toArrow()
+    discard(often)
+    found, number = (chosen[c].to_numpy().astype(np.int64) for c in ("s", "n"))
+    found = found.view(np.uint64)
+    ranks = np.empty(len(found), dtype=np.int64)
+    ranks[np.lexsort((found, number))] = np.arange(1, len(found) + 1)
+    order = np.argsort(found)
+    return found[order], ranks[order]
 
 
 def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray, least: tuple[int, int]) -> np.ndarray:
@@ -122,7 +135,7 @@ class _Texts:
         first = self.rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "text_hash", "fp", "firsts")])
         self.once = stage(first, "different-sets")
         self.sets: DataFrame | None = None
-        self.roots: DataFrame | None = None
+        self.links: DataFrame | None = None
 
     def fits(self, n_u: F.Column, p_u: F.Column, n_v: F.Column, p_v: F.Column) -> F.Column:
         """Whether two sets of n shingles, the first common one at p (from 0) in each, may be similar."""
@@ -132,28 +145,28 @@ class _Texts:
 
     def _similar(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v: keys) that are similar, compared by prefixes and then by whole sets."""
-        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "met-pairs", compact=True)
         num, den = self.num, self.den
-        ends = stage(pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct(), "met-keys", compact=True)
-        short = stage(by_keys(self.once, ends, "key", "left_semi"), "met-prefixes", compact=True)
+        pairs = stage(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "met-pairs")
+        ends = stage(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "met-keys")
+        short = stage(by_keys(self.once, ends, "key", "left_semi"), "met-prefixes")
         left, right = (short.select(F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("firsts").alias(f"f{k}")) for k in "uv")
         total = F.col("nu").cast("long") + F.col("nv")
         # behind the end of one of the two prefixes there are at most that set's other shingles
         behind = F.floor(F.greatest("nu", "nv").cast("long") * num / F.lit(den)) + 1
         shared = F.size(F.array_intersect("fu", "fv")).cast("long")
         near = pairs.join(left, "u").join(right, "v").where((shared + behind) * (num + den) >= total * num).select("u", "v")
-        near = stage(near, "near-pairs", compact=True)
-        self._extend(near)
+        near = stage(near, "near-pairs")
+        self._extend(near, short)
         left, right = (self.sets.select(F.col("key").alias(k), F.col("whole").alias(f"w{k}")) for k in "uv")
         total = F.size("wu").cast("long") + F.size("wv")
         shared = F.size(F.array_intersect("wu", "wv")).cast("long")
-        found = stage(near.join(left, "u").join(right, "v").where(shared * (num + den) >= total * num).select("u", "v"), "links", compact=True)
+        found = stage(near.join(left, "u").join(right, "v").where(shared * (num + den) >= total * num).select("u", "v"), "links")
         for gone in (pairs, ends, short, near):
             discard(gone)
         return found
 
-    def _extend(self, near: DataFrame) -> None:
-        """Sets of all texts in ``near`` that aren't held yet."""
+    def _extend(self, near: DataFrame, short: DataFrame) -> None:
+        """Sets of all texts in ``near`` that aren't held yet; short has their text hashes."""
         words = self.words
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,27 +174,27 @@ class _Texts:
                 sets = [shingles(t.as_py(), words) for t in b.column(0)]
                 yield pa.record_batch([pa.array([_key(s) for s in sets], pa.int64()), _lists(sets)], names=["key", "whole"])
 
-        ends = near.select(F.col("u").alias("key")).unionByName(near.select(F.col("v").alias("key"))).distinct()
+        ends = near.select(F.explode(F.array("u", "v")).alias("key"))
         if self.sets is not None:
             ends = ends.join(self.sets.select("key"), "key", "left_anti")
-        named = self.once.select("key", "text_hash").join(ends, "key", "left_semi").select("text_hash").distinct()
-        named = stage(named, "near-texts", compact=True)
+        named = stage(short.select("key", "text_hash").join(ends, "key", "left_semi").select("text_hash"), "near-texts")
         chosen = by_keys(self.texts.select("text_hash", "t"), named, "text_hash", "left_semi").dropDuplicates(["text_hash"])
         added = stage(chosen.select("t").mapInArrow(whole, "key long, whole array<long>"), "near-sets")
         self.sets = added if self.sets is None else self.sets.unionByName(added)
         discard(named)
 
     def link(self, pairs: DataFrame) -> None:
-        """Join the groups of those pairs that are similar."""
-        links = self._similar(pairs)
-        if self.roots is not None:
-            links = links.unionByName(self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v"))
-        self.roots = components(links)
+        """Add those pairs that are similar to the links."""
+        found = self._similar(pairs)
+        self.links = found if self.links is None else self.links.unionByName(found)
 
     def _grouped(self, rows: DataFrame) -> DataFrame:
-        """Rows with the present group (g) of their key."""
-        roots = self.roots.withColumnRenamed("node", "key")
-        return rows.join(roots, "key", "left").withColumn("g", F.coalesce("root", "key")).drop("root")
+        """Rows with a group (g) that links join their key to: the smallest key within two links."""
+        both = self.links.unionByName(self.links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        one = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("g"))
+        two = both.join(one.select(F.col("u").alias("v"), "g"), "v").groupBy(F.col("u").alias("key")).agg(F.min("g").alias("g"))
+        two = stage(two, "joined")
+        return rows.join(two, "key", "left").withColumn("g", F.coalesce("g", "key"))
 
     def _active(self, members: DataFrame) -> DataFrame:
         """Members (s, key, n, p, g) of buckets that hold more than one group."""
@@ -192,34 +205,47 @@ class _Texts:
     def complete(self, first: DataFrame | None) -> None:
         """Link all similar pairs; those in ``first`` (u, v) are compared along with the first leaders."""
         members = self.once.select("key", "n", F.col("key").alias("g"), F.posexplode("firsts").alias("p", "s"))
-        active, leaders = self._active(members), 1
+        active, leaders = self._active(members), LEADERS
         while True:
             other = active.select("s", *[F.col(c).alias(f"{c}v") for c in ("key", "n", "p", "g")])
             meet = (F.col("g") != F.col("gv")) & self.fits(F.col("n"), F.col("p"), F.col("nv"), F.col("pv"))
             pairs = [F.col("key").alias("u"), F.col("keyv").alias("v")]
-            sizes = active.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.max(F.struct("c", "g")).alias("most"))
-            sizes = sizes.select("s", "c", F.col("most.g").alias("most"), (F.col("c") * (F.col("c") - F.col("most.c"))).cast("double").alias("left"))
-            sizes = stage(sizes, "bucket-sizes", compact=True)
-            members_left, pairs_left = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0.0))).first()
-            if not members_left:
-                return
-            if leaders > 1 and pairs_left <= LEFT * members_left:  # a bucket's largest group never meets itself
-                few = active.join(sizes.select("s", "most"), "s").where("g <> most").drop("most")
-                self.link(few.join(other, "s").where(meet).select(*pairs))
-                return
+            if leaders > LEADERS:
+                sizes = active.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.max(F.struct("c", "g")).alias("most"))
+                left = (F.col("c") * (F.col("c") - F.col("most.c"))).cast("double")
+                sizes = stage(sizes.select("s", "c", F.col("most.g").alias("most"), left.alias("left")), "bucket-sizes")
+                members_left, pairs_left = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0.0))).first()
+                if pairs_left <= LEFT * members_left:
+                    if members_left:  # a bucket's largest group never meets itself
+                        few = active.join(sizes.select("s", "most"), "s").where("g <> most").drop("most")
+                        self.link(few.join(other, "s").where(meet).select(*pairs))
+                    discard(active)
+                    return
+                discard(sizes)
             slot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
-            chosen = active.groupBy("s", slot.alias("slot")).agg(F.min("key").alias("keyv")).select("s", "keyv")
-            chosen = stage(chosen, "leaders", compact=True)
+            # an original shares all its shingles with its copies, which have some of their own: those that share most lead
+            shared = active.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
+            order = F.struct((F.col("shared") / F.col("n")).alias("r"), "key")
+            chosen = active.join(shared, "key").groupBy("s", slot.alias("slot")).agg(F.max(order).alias("most"))
+            chosen = stage(chosen.select("s", F.col("most.key").alias("keyv")), "leaders")
             met = active.join(other.join(chosen, ["s", "keyv"], "left_semi"), "s").where(meet).select(*pairs)
             self.link(met if first is None else met.unionByName(first))
             first = None
             gone = chosen.withColumnRenamed("keyv", "key")
             before, active = active, self._active(self._grouped(active.drop("g").join(gone, ["s", "key"], "left_anti")))
-            for old in (before, sizes, chosen):
+            for old in (before, chosen):
                 discard(old)
             leaders *= 2
 
     def groups(self) -> DataFrame:
+        """(id, text_hash, fp, key, group) of each input row."""
+        discard(self.once)
+        roots = components(self.links).withColumnRenamed("node", "key")
+        rows = self.rows.select("id", "text_hash", "fp", "key").join(roots, "key", "left")
+        return rows.select("id", "text_hash", "fp", "key", F.coalesce("root", "key").alias("group"))
+
+
+def groups(self) -> DataFrame:
         """(id, text_hash, fp, key, group) of each input row."""
         for gone in (self.once, self.sets):
             discard(gone)
