@@ -141,7 +141,7 @@ for _name, (_t, _s) in _GROUPS.items():
         statement("group_gproduct", "SELECT l_orderkey AS k, GPRODUCT(l_tax+1) AS v FROM $1 GROUPBY l_orderkey", "lineitem", "SELECT l_orderkey AS k, round(product(l_tax+1), 6) AS v FROM lineitem GROUP BY 1", 6)
         continue
     statement(f"group_{_name}", f"SELECT l_returnflag AS k, {_t} AS v FROM $1 GROUPBY l_returnflag", "lineitem", f"SELECT l_returnflag AS k, {_as} AS v FROM {rows('lineitem')} GROUP BY 1", _digits)
-statement("group_gaggr", "SELECT l_orderkey, GAGGR(l_linenumber) AS a, GROWID() AS r FROM $1 WHERE l_orderkey < 200 GROUPBY l_orderkey", "lineitem", f"SELECT l_orderkey, list(l_linenumber::BIGINT ORDER BY rid) AS a, list(rid ORDER BY rid) AS r FROM {rows('lineitem')} WHERE l_orderkey < 200 GROUP BY 1")
+statement("group_gaggr", "SELECT l_orderkey, GAGGR(l_linenumber) AS a, GROWID() AS r FROM $1 GROUPBY l_orderkey", "lineitem", f"SELECT l_orderkey, list(l_linenumber::BIGINT ORDER BY rid) AS a, list(rid ORDER BY rid) AS r FROM {rows('lineitem')} GROUP BY 1")
 statement("group_having_order", "SELECT o_custkey, GCOUNT() AS n FROM $1 GROUPBY o_custkey HAVING GCOUNT()>3 ORDERBY o_custkey LIMIT 20", "orders", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*)>3 ORDER BY 1 LIMIT 20")
 statement("group_first_appearance", "SELECT l_linenumber, GCOUNT() AS n FROM $1 GROUPBY l_linenumber LIMIT 3", "lineitem", f"SELECT l_linenumber, count(*) AS n FROM {rows('lineitem')} GROUP BY 1 ORDER BY min(rid) LIMIT 3")
 statement("group_expr", "SELECT l_orderkey % 10 AS k, GSUM(l_quantity) AS q, GMAX(l_tax) AS t FROM $1 GROUPBY l_orderkey % 10", "lineitem", "SELECT l_orderkey % 10 AS k, round(sum(l_quantity), 2) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1", 2)

@@ -87,10 +87,10 @@ def cell_slice_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Writing.
-@query("select_into", f"SELECT rid, o_orderkey, o_totalprice FROM (SELECT row_number() OVER (ORDER BY o_totalprice, rid) - 1 AS rid, o_orderkey, o_totalprice FROM {rows('orders')} WHERE o_custkey < 100)")
+@query("select_into", f"SELECT rid, o_orderkey, o_totalprice FROM (SELECT row_number() OVER (ORDER BY o_totalprice, rid) - 1 AS rid, o_orderkey, o_totalprice FROM {rows('orders')})")
 def select_into(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = stage_path(spark, "into")
-    taql(spark, f"SELECT o_orderkey, o_totalprice INTO '{path}' FROM $1 WHERE o_custkey < 100 ORDERBY o_totalprice", [f"{sf_dir}/orders.parquet"])
+    taql(spark, f"SELECT o_orderkey, o_totalprice INTO '{path}' FROM $1 ORDERBY o_totalprice", [f"{sf_dir}/orders.parquet"])
     return taql(spark, "SELECT ROWID() AS rid, o_orderkey, o_totalprice FROM $1", [path], ordered=False)
 
 
