@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import batches_of
 from .pieces import CACHE_ENTRIES, ENCODED_ROWS, PieceEncoder
+from .workers import tidy
 
 #: Limits of a sequence, and sequences that a task holds open.
 TOKENS, SEGMENTS, OPEN = 4096, 512, 16
@@ -229,6 +230,7 @@ def pack_texts(
     kinds = _TEXTS if keep_ids else _TEXTS[:-1]
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer, words=True)
         packer, first = Packer(own), TaskContext.get().partitionId() << 40

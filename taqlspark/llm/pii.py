@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import batches_of, stage
+from .workers import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring; distinct known instances a pattern needs, its least confidence, an instance's least score.
@@ -182,6 +183,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     batches_of(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts: list[list[int]] = [[], [], [], []]

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import batches_of
+from .workers import tidy
 
 #: Bounds of the two training samples. Which rows are in them depends on a hash of the id alone.
 POSITIVES, UNLABELLED = 12_000, 24_000
@@ -147,6 +148,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def _sample(docs: DataFrame, text_col: str) -> np.ndarray:
     """Features of a bounded frame's texts, on the driver."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features(t) for t in b.column(0).to_pylist()]
@@ -194,6 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     batches_of(docs.sparkSession)
 
     @F.pandas_udf("double")
+    @tidy
     def of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for c in columns:
             x = np.array([features(t) for t in c]).reshape(-1, len(FEATURES))

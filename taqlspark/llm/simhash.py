@@ -27,6 +27,7 @@ from ..session import batches_of, stage
 from . import similar
 from .components import components
 from .shingles import hashes, majority
+from .workers import tidy
 
 #: The differing bits up to which fingerprints link.
 RADIUS = 2
@@ -45,6 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp long, text_hash long) for each row; fp holds the fingerprint's bits."""
     batches_of(docs.sparkSession)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..session import batches_of, discard, stage
 from .components import components
 from .shingles import hashes, majority
+from .workers import tidy
 
 #: Shingle length in words, and the least coefficient as a fraction.
 WORDS, LEAST = 5, (4, 5)
@@ -60,6 +61,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a share of ``texts`` (t binary) holds three times or more, sorted, and their ranks by number."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.concatenate([*(shingles(t.as_py(), words) for t in b.column(0)), np.zeros(0, np.uint64)])
@@ -118,6 +120,7 @@ class _Texts:
         )
         sent = spark.sparkContext.broadcast(_common(self.texts, words))
 
+        @tidy
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common, ranks = sent.value
             for b in batches:
@@ -169,6 +172,7 @@ class _Texts:
         """Sets of all texts in ``near`` that aren't held yet; short has their text hashes."""
         words = self.words
 
+        @tidy
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 sets = [shingles(t.as_py(), words) for t in b.column(0)]
