@@ -249,17 +249,6 @@ class _Texts:
         return rows.select("id", "text_hash", "fp", "key", F.coalesce("root", "key").alias("group"))
 
 
-def groups(self) -> DataFrame:
-        """(id, text_hash, fp, key, group) of each input row."""
-        for gone in (self.once, self.sets):
-            discard(gone)
-        rows = self.rows.select("id", "text_hash", "fp", "key")
-        if self.roots is None:
-            return rows.withColumn("group", F.col("key"))
-        roots = self.roots.withColumnRenamed("node", "key")
-        return rows.join(roots, "key", "left").select("id", "text_hash", "fp", "key", F.coalesce("root", "key").alias("group"))
-
-
 def groups(
     docs: DataFrame,
     id_col: str = "doc_id",
