@@ -87,7 +87,7 @@ def ship(spark: SparkSession) -> None:
 def batches_of(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows and the bytes of an Arrow batch, so that a batch of very long texts still fits a worker."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
