@@ -69,7 +69,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
     drawn = texts.select("t").where(F.pmod(F.xxhash64("t"), F.lit(SHARE)) == 0)
     often = drawn.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    often = stage(often.withColumn("size", F.floor(F.log2("n") * 4).cast("int")), "frequent-shingles")
+    often = stage(often.withColumn("size", F.floor(F.log2("n") * 4).cast("int")), "frequent-shingles", compact=True)
     listed, least = 0, None
     for size, count in sorted(((r[0], r[1]) for r in often.groupBy("size").count().collect()), reverse=True):
         listed += count
@@ -158,12 +158,12 @@ class _Texts:
         behind = F.floor(F.greatest("nu", "nv").cast("long") * num / F.lit(den)) + 1
         shared = F.size(F.array_intersect("fu", "fv")).cast("long")
         near = pairs.join(left, "u").join(right, "v").where((shared + behind) * (num + den) >= total * num).select("u", "v")
-        near = stage(near, "near-pairs")
+        near = stage(near, "near-pairs", compact=True)
         self._extend(near, short)
         left, right = (self.sets.select(F.col("key").alias(k), F.col("whole").alias(f"w{k}")) for k in "uv")
         total = F.size("wu").cast("long") + F.size("wv")
         shared = F.size(F.array_intersect("wu", "wv")).cast("long")
-        found = stage(near.join(left, "u").join(right, "v").where(shared * (num + den) >= total * num).select("u", "v"), "links")
+        found = stage(near.join(left, "u").join(right, "v").where(shared * (num + den) >= total * num).select("u", "v"), "links", compact=True)
         for gone in (pairs, ends, short, near):
             discard(gone)
         return found
@@ -181,7 +181,7 @@ class _Texts:
         ends = near.select(F.explode(F.array("u", "v")).alias("key"))
         if self.sets is not None:
             ends = ends.join(self.sets.select("key"), "key", "left_anti")
-        named = stage(short.select("key", "text_hash").join(ends, "key", "left_semi").select("text_hash"), "near-texts")
+        named = stage(short.select("key", "text_hash").join(ends, "key", "left_semi").select("text_hash"), "near-texts", compact=True)
         chosen = by_keys(self.texts.select("text_hash", "t"), named, "text_hash", "left_semi").dropDuplicates(["text_hash"])
         added = stage(chosen.select("t").mapInArrow(whole, "key long, whole array<long>"), "near-sets")
         self.sets = added if self.sets is None else self.sets.unionByName(added)
@@ -231,7 +231,7 @@ class _Texts:
             shared = active.groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
             order = F.struct((F.col("shared") / F.col("n")).alias("r"), "key")
             chosen = active.join(shared, "key").groupBy("s", slot.alias("slot")).agg(F.max(order).alias("most"))
-            chosen = stage(chosen.select("s", F.col("most.key").alias("keyv")), "leaders")
+            chosen = stage(chosen.select("s", F.col("most.key").alias("keyv")), "leaders", compact=True)
             met = active.join(other.join(chosen, ["s", "keyv"], "left_semi"), "s").where(meet).select(*pairs)
             self.link(met if first is None else met.unionByName(first))
             first = None
