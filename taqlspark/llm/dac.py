@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import batches_of, partitions_for, stage
 from .pieces import ENCODED_ROWS, PieceEncoder
+from .workers import tidy
 
 MAGIC = b"DACTOK1\n"
 #: Bits a rank entry covers, and ids after which a shard is closed.
@@ -151,6 +152,7 @@ def write_tokens(
     spark = docs.sparkSession
     batches_of(spark, ENCODED_ROWS)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(tokenizer, words=False)
         fs, folder = _open(path)
@@ -205,6 +207,7 @@ def read_tokens(spark: SparkSession, path: str, manifest: DataFrame, keep_ids: b
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     bases = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for base, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
