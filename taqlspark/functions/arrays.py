@@ -36,6 +36,11 @@ def _or_zero(a: Column, x: Column, z: float | int = 0.0) -> Column:
     return F.when(F.size(a) == 0, F.lit(z)).otherwise(x)
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x. A lambda's body computes again for each element what it is given; this binds x, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def total(a: Column, kind: str) -> Column:
     start = F.lit(0).cast("bigint") if kind == INT else F.lit(0.0)
     return F.aggregate(a, start, lambda x, y: x + y)
@@ -67,8 +72,8 @@ def variance(a: Column, sample: bool = False) -> Column:
 
 def mean_deviation(a: Column) -> Column:
     a = _real(a)
-    m = mean(a)
-    return mean(F.transform(a, lambda x: F.abs(x - m)))
+    deviations = _once(mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x - m)))
+    return _or_zero(a, deviations / F.greatest(F.size(a), F.lit(1)))
 
 
 def rms(a: Column) -> Column:
@@ -152,11 +157,16 @@ def _statistic(name: str) -> None:
 
     def running(args: list[Val], safe: bool) -> Val:
         """The statistic of each prefix."""
-        a, kind, _ = _input(name, args)
-        out_kind = STATISTICS[name](a, kind, 0.5)[1]
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1))), lambda k: STATISTICS[name](F.slice(a, F.lit(1), k), kind, 0.5)[0])
+        whole, kind, _ = _input(name, args)
+        out_kind = STATISTICS[name](whole, kind, 0.5)[1]
         sql = {INT: "array<bigint>", FLOAT: "array<double>", BOOL: "array<boolean>"}[out_kind]
-        return Val(F.when(F.size(a) == 0, F.array().cast(sql)).otherwise(each), ARR, out_kind)
+
+        def prefixes(a: Column) -> Column:
+            ends = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)))
+            each = F.transform(ends, lambda k: _once(F.slice(a, F.lit(1), k), lambda p: STATISTICS[name](p, kind, 0.5)[0]))
+            return F.when(F.size(a) == 0, F.array().cast(sql)).otherwise(each)
+
+        return Val(_once(whole, prefixes), ARR, out_kind)
 
     if name != "FRACTILE":
         register(f"RUNNING{name}", f"BOXED{name}", least=1)(running)
