@@ -64,9 +64,8 @@ def mean(a: Column) -> Column:
 def variance(a: Column, sample: bool = False) -> Column:
     """Two passes; 0 where too few elements."""
     a = _real(a)
-    m = mean(a)
     n = F.size(a) - int(sample)
-    squares = F.aggregate(F.transform(a, lambda x: (x - m) * (x - m)), F.lit(0.0), lambda x, y: x + y)
+    squares = _once(mean(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
     return F.when(n < 1, 0.0).otherwise(squares / F.greatest(n, F.lit(1)))
 
 

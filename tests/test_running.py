@@ -13,6 +13,7 @@ LONG = [float(x) for x in np.random.default_rng(7).normal(50.0, 9.0, 1000)]
 #: Each name and its statistic of a prefix.
 RUNNING = {
     "BOXEDAVDEV": lambda p: np.abs(p - p.mean()).mean(),
+    "BOXEDSAMPLESTDDEV": lambda p: p.std(ddof=1) if len(p) > 1 else 0.0,
 }
 
 
