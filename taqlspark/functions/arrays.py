@@ -160,12 +160,21 @@ def _statistic(name: str) -> None:
         out_kind = STATISTICS[name](whole, kind, 0.5)[1]
         sql = {INT: "array<bigint>", FLOAT: "array<double>", BOOL: "array<boolean>"}[out_kind]
 
+        def prefix(a: Column, k: Column) -> Column:
+            return _once(F.slice(a, F.lit(1), k), lambda p: STATISTICS[name](p, kind, 0.5)[0])
+
         def prefixes(a: Column) -> Column:
             ends = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)))
-            each = F.transform(ends, lambda k: _once(F.slice(a, F.lit(1), k), lambda p: STATISTICS[name](p, kind, 0.5)[0]))
-            return F.when(F.size(a) == 0, F.array().cast(sql)).otherwise(each)
+            return F.when(F.size(a) == 0, F.array().cast(sql)).otherwise(F.transform(ends, lambda k: prefix(a, k)))
+
+        def pick(at: Column) -> Column:
+            def one(a: Column) -> Column:
+                place = F.when(at < 0, at + F.size(a)).otherwise(at).cast("int")
+                return F.when((place >= 0) & (place < F.size(a)), prefix(a, place + 1))
+
+            return _once(whole, one)
 
-        return Val(_once(whole, prefixes), ARR, out_kind)
+        return Val(_once(whole, prefixes), ARR, out_kind, pick=pick)
 
     if name != "FRACTILE":
         register(f"RUNNING{name}", f"BOXED{name}", least=1)(running)

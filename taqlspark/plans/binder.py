@@ -167,8 +167,10 @@ class Binder:
             return Val(F.when(at == 0, v.col["re"]).when(at == 1, v.col["im"]).otherwise(0.0), FLOAT)
         if v.kind != ARR:
             raise TaqlError("only arrays and subqueries can be indexed")
-        place = F.when(at < 0, at + F.size(v.col)).otherwise(at).cast("int")
         kind = v.elem or FLOAT
+        if v.pick is not None:
+            return Val(F.coalesce(v.pick(at), zero(kind)), kind)
+        place = F.when(at < 0, at + F.size(v.col)).otherwise(at).cast("int")
         return Val(F.coalesce(F.get(v.col, place), zero(kind)), kind)
 
     def _subquery(self, e: A.Subquery) -> Val:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -37,12 +38,14 @@ class TaqlError(ValueError):
 
 @dataclass
 class Val:
-    """A typed expression. elem: kind of an array's elements. const: its value if known when planning."""
+    """A typed expression. elem: kind of an array's elements. const: its value if known when planning. pick: an array's
+    element at a place, null outside, without the other elements."""
 
     col: Column
     kind: str
     elem: str | None = None
     const: Any = None
+    pick: Callable[[Column], Column] | None = None
 
 
 def kind_of(t: T.DataType) -> tuple[str, str | None]:

@@ -14,6 +14,7 @@ LONG = [float(x) for x in np.random.default_rng(7).normal(50.0, 9.0, 1000)]
 RUNNING = {
     "BOXEDAVDEV": lambda p: np.abs(p - p.mean()).mean(),
     "BOXEDSAMPLESTDDEV": lambda p: p.std(ddof=1) if len(p) > 1 else 0.0,
+    "BOXEDSAMPLEVARIANCE": lambda p: p.var(ddof=1) if len(p) > 1 else 0.0,
 }
 
 
@@ -25,3 +26,12 @@ def test_running_over_a_long_array(spark, name):
     [(got,)] = taql(spark, f"SELECT {name}(a) AS v FROM $1", [table]).collect()
     assert time.time() - began < 20
     assert np.allclose(got, [RUNNING[name](np.array(LONG[: k + 1])) for k in range(len(LONG))], rtol=1e-12, atol=0)
+
+
+def test_an_index_takes_one_prefix(spark):
+    """An index into a running statistic computes that prefix only; places outside are zero."""
+    table = spark.range(1).select(F.array(*map(F.lit, [1.0, 3.0, 8.0])).alias("a"))
+    places = {0: 0.0, 1: 2.0, 2: 13.0, 3: 0.0, -1: 13.0, -2: 2.0, -4: 0.0}
+    found = taql(spark, f"SELECT {', '.join(f'RUNNINGSAMPLEVARIANCE(a)[{k}] AS v{i}' for i, k in enumerate(places))} FROM $1", [table])
+    assert np.allclose(found.collect()[0], list(places.values()))
+    assert "sequence" not in found._jdf.queryExecution().analyzed().toString()
