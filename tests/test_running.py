@@ -15,6 +15,7 @@ RUNNING = {
     "BOXEDAVDEV": lambda p: np.abs(p - p.mean()).mean(),
     "BOXEDSAMPLESTDDEV": lambda p: p.std(ddof=1) if len(p) > 1 else 0.0,
     "BOXEDSAMPLEVARIANCE": lambda p: p.var(ddof=1) if len(p) > 1 else 0.0,
+    "BOXEDVARIANCE": lambda p: p.var(),
 }
 
 
