@@ -17,6 +17,7 @@ RUNNING = {
     "BOXEDSAMPLEVARIANCE": lambda p: p.var(ddof=1) if len(p) > 1 else 0.0,
     "BOXEDVARIANCE": lambda p: p.var(),
     "RUNNINGAVDEV": lambda p: np.abs(p - p.mean()).mean(),
+    "RUNNINGSAMPLESTDDEV": lambda p: p.std(ddof=1) if len(p) > 1 else 0.0,
 }
 
 
