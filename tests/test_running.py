@@ -19,6 +19,7 @@ RUNNING = {
     "RUNNINGAVDEV": lambda p: np.abs(p - p.mean()).mean(),
     "RUNNINGSAMPLESTDDEV": lambda p: p.std(ddof=1) if len(p) > 1 else 0.0,
     "RUNNINGSAMPLEVARIANCE": lambda p: p.var(ddof=1) if len(p) > 1 else 0.0,
+    "RUNNINGSTDDEV": lambda p: p.std(),
 }
 
 
